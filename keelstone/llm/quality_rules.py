@@ -31,11 +31,13 @@ from keelstone.llm.common import map_slices, slices
 from keelstone.session import drop_stored, prepare, stored
 
 #: Fewest words of a text for each histogram to be compared.
-MIN_CLASS_WORDS = 20
+MIN_CLASS_WORDS = 40
 MIN_COMMON_WORDS = 60
-#: Jensen-Shannon distances (base 2, 0 to 1) beyond which a text is rejected.
-MAX_CLASS_DISTANCE = 0.25
-MAX_COMMON_DISTANCE = 0.62
+#: Jensen-Shannon distances (base 2, 0 to 1) beyond which a text is rejected; a
+#: sample's distance from its own source falls with the root of its size, so each
+#: limit has a share divided by the root of the text's words.
+MAX_CLASS_DISTANCE, CLASS_SLACK = 0.14, 1.0
+MAX_COMMON_DISTANCE, COMMON_SLACK = 0.16, 3.4
 #: Words in a language's common-word histogram.
 COMMON = 100
 #: Fewest words that make a reference.
@@ -208,7 +210,7 @@ def judge(docs: DataFrame, refs: dict | None = None, doc_id: str = "doc_id", lan
                 ref = known.get(_lang(v))
                 a = js_distance(class_histogram(raw), ref[0]) if ref and n >= MIN_CLASS_WORDS else None
                 b = js_distance(common_histogram(tokens, ref[1]), ref[2]) if ref and n >= MIN_COMMON_WORDS else None
-                out.append((i, n, chars, symbols, dup, rep, failed, a, b, not (failed or a is not None and a > max_class or b is not None and b > max_common)))
+                out.append((i, n, chars, symbols, dup, rep, failed, a, b, not (failed or a is not None and a > max_class + CLASS_SLACK / n**0.5 or b is not None and b > max_common + COMMON_SLACK / n**0.5)))
             kinds = [pa.int64()] * 6 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
             return [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]
 
