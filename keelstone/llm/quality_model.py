@@ -66,9 +66,10 @@ def features(texts: list[str | None]):
     raw = np.frombuffer(b"".join(buffer), np.uint8)
     starts, stops, owner = np.array(starts), np.array(stops), np.array(owner)
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[1], np.full(len(raw), _P)]).astype(np.uint64))
-        unpowers = np.cumprod(np.concatenate([[1], np.full(len(raw), _P_INVERSE, np.uint64)]).astype(np.uint64))
-        total = np.concatenate([[0], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)]).astype(np.uint64)
+        one, none = np.ones(1, np.uint64), np.zeros(1, np.uint64)
+        powers = np.cumprod(np.concatenate([one, np.full(len(raw), _P, np.uint64)]))
+        unpowers = np.cumprod(np.concatenate([one, np.full(len(raw), _P_INVERSE, np.uint64)]))
+        total = np.concatenate([none, np.cumsum((raw.astype(np.uint64) + one) * powers[:-1])])
         word = (total[stops] - total[starts]) * unpowers[starts]
         yield _bucket(word, 1), owner
         same = owner[1:] == owner[:-1]
