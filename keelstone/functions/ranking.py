@@ -11,7 +11,7 @@ from keelstone.session import stored
 def top(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rn") -> DataFrame:
     """The first n rows of each key, numbered from 1. Spark limits each partition's
     groups before the shuffle, so a hot key sends at most n rows a task."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n)
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n).withColumn(name, F.col(name).cast("bigint"))
 
 
 def ranks(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:

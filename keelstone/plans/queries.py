@@ -41,7 +41,7 @@ _STREAM = """stream AS (SELECT event_type AS key, epoch_us(ts) // 1000 AS ms, ro
 _CALLS = """calls AS (SELECT id AS call_seq, 'g' || (id % 2) AS grp, 'c' || (id % 3) AS consumer, id % 7 + 1 AS cnt, id * 1000 + 1704067200000 AS ts_ms FROM range(40) t(id)),
   spans AS (SELECT *, CAST(sum(cnt) OVER (PARTITION BY grp ORDER BY call_seq) AS BIGINT) AS hi FROM calls),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS rn FROM stream),
-  pel AS (SELECT key, ms, seq, grp, consumer, call_seq, ts_ms AS delivery_ms, 1 AS delivery_count FROM ranked JOIN spans ON rn > hi - cnt AND rn <= hi)"""
+  pel AS (SELECT key, ms, seq, grp, consumer, call_seq, ts_ms AS delivery_ms, CAST(1 AS BIGINT) AS delivery_count FROM ranked JOIN spans ON rn > hi - cnt AND rn <= hi)"""
 
 
 def _mod(c: str, n: int, r: int = 0):
@@ -82,7 +82,7 @@ def keys_glob(spark, d):
     return keyspace.scan(k, "customer:1?", False).union(keyspace.scan(k, "nation*"))
 
 
-@query(f"WITH {_EXP} SELECT key, 'string' AS type, CASE WHEN expires_at_ms = 0 THEN -1 WHEN expires_at_ms <= {NOW} THEN -2 ELSE (expires_at_ms - {NOW}) // 1000 END AS ttl, 1 AS size, 0 AS updated_at_ms FROM exp WHERE regexp_matches(key, '^order:[^/]*5$') ORDER BY key LIMIT 50")
+@query(f"WITH {_EXP} SELECT key, 'string' AS type, CASE WHEN expires_at_ms = 0 THEN -1 WHEN expires_at_ms <= {NOW} THEN -2 ELSE (expires_at_ms - {NOW}) // 1000 END AS ttl, CAST(1 AS BIGINT) AS size, CAST(0 AS BIGINT) AS updated_at_ms FROM exp WHERE regexp_matches(key, '^order:[^/]*5$') ORDER BY key LIMIT 50")
 def key_metas(spark, d):
     e = state.expiring(spark, d).withColumns({"type": F.lit("string"), "updated_at_ms": F.lit(0).cast("bigint")})
     return keyspace.metas(e, e.select("key", F.lit(1).alias("size")), NOW, "order:*5", 50)
@@ -172,7 +172,7 @@ def hget_join(spark, d):
     return coll.hget(req, h.select("key", "field", "value"))
 
 
-@query(f"WITH {_HASHES}, req AS (SELECT 'customer:' || c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'name' ELSE 'absent' END AS field FROM customer) SELECT req.key, req.field, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS found FROM req LEFT JOIN hashes USING (key, field)")
+@query(f"WITH {_HASHES}, req AS (SELECT 'customer:' || c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'name' ELSE 'absent' END AS field FROM customer) SELECT req.key, req.field, CAST(CASE WHEN value IS NULL THEN 0 ELSE 1 END AS BIGINT) AS found FROM req LEFT JOIN hashes USING (key, field)")
 def hexists(spark, d):
     req = state.strings(spark, d).select("key", F.when(_mod("c_custkey", 3), "name").otherwise("absent").alias("field"))
     return coll.present(req, state.hashes(spark, d), ["key", "field"])
@@ -252,7 +252,7 @@ def smembers(spark, d):
     return state.sets(spark, d)
 
 
-@query(f"WITH {_SETS}, req AS (SELECT 'nation:' || n_nationkey AS key, 'BUILDING' AS member FROM nation) SELECT req.key, req.member, CASE WHEN s.key IS NULL THEN 0 ELSE 1 END AS found FROM req LEFT JOIN sets s USING (key, member)")
+@query(f"WITH {_SETS}, req AS (SELECT 'nation:' || n_nationkey AS key, 'BUILDING' AS member FROM nation) SELECT req.key, req.member, CAST(CASE WHEN s.key IS NULL THEN 0 ELSE 1 END AS BIGINT) AS found FROM req LEFT JOIN sets s USING (key, member)")
 def sismember(spark, d):
     req = state.table(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("key"), F.lit("BUILDING").alias("member"))
     return coll.present(req, state.sets(spark, d), ["key", "member"])
@@ -379,7 +379,7 @@ def xack(spark, d):
     return streams.ack(p, p.filter("ms % 2 = 1").select("key", "grp", "ms", "seq"))
 
 
-@query(f"WITH {_STREAM}, {_CALLS} SELECT key, ms, seq, grp, consumer, call_seq, {NOW} AS delivery_ms, 2 AS delivery_count FROM pel WHERE grp = 'g0' AND consumer = 'c2' AND ms % 3 <> 0")
+@query(f"WITH {_STREAM}, {_CALLS} SELECT key, ms, seq, grp, consumer, call_seq, {NOW} AS delivery_ms, CAST(2 AS BIGINT) AS delivery_count FROM pel WHERE grp = 'g0' AND consumer = 'c2' AND ms % 3 <> 0")
 def xreadgroup_replay(spark, d):
     s = state.stream(spark, d)
     return streams.replay(state.pending(spark, d), s.filter("ms % 3 <> 0"), "g0", "c2", (0, 0), NOW)
