@@ -7,7 +7,8 @@ two replicas file by file and descends only below nodes that differ, level by
 level, until it reaches the records: levels above the leaves are FANOUT times
 smaller than those below them, and matching branches are never read further.
 
-All steps are DataFrame operations. Files hold at most `FILE_RECORDS` records, so
+All steps are DataFrame operations; records' digests and places, not the records, are
+written for them. Files hold at most `FILE_RECORDS` records, so
 no node's children and no file's order grow with the archive.
 
 Defined results: null payloads are empty records; empty tables give no rows; a
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelstone.session import prepare
+from keelstone.session import prepare, stored
 
 FANOUT = 16
 FILE_RECORDS = 4096
@@ -50,43 +51,47 @@ def archive(pages: DataFrame, n_files: int, key: str = "page_id", uri: str = "ur
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(file, level 0 node, hash): a record's digest with its range."""
-    return records.select("file", F.col("seq").alias("node"), F.sha2(F.concat_ws("|", "digest", F.col("offset").cast("string"), F.col("length").cast("string")).cast("binary"), 256).alias("hash"))
+    """(side, file, node, hash): a record's digest with its range; node is its place."""
+    return records.select("side", "file", F.col("seq").alias("node"), F.sha2(F.concat_ws("|", "digest", F.col("offset").cast("string"), F.col("length").cast("string")).cast("binary"), 256).alias("hash"))
 
 
 def parents(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The level above: each node hashes its children in order."""
-    up = nodes.groupBy("file", F.floor(F.col("node") / fanout).cast("bigint").alias("up")).agg(F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("c"))
-    return up.select("file", F.col("up").alias("node"), F.sha2(F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["node"].cast("string"), c["hash"])), ",").cast("binary"), 256).alias("hash"))
+    up = nodes.groupBy("side", "file", F.floor(F.col("node") / fanout).cast("bigint").alias("up")).agg(F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("c"))
+    return up.select("side", "file", F.col("up").alias("node"), F.sha2(F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["node"].cast("string"), c["hash"])), ",").cast("binary"), 256).alias("hash"))
 
 
 def tree(records: DataFrame, levels: int = LEVELS, fanout: int = FANOUT) -> list[DataFrame]:
-    """The levels from the leaves to the root (node 0 of the last)."""
+    """The levels from the leaves to the root (node 0 of the last), of all sides at once.
+    Each level above the leaves is written: the next is built, and the audit descends,
+    from its files."""
     out = [leaves(records)]
     for _ in range(levels):
-        out.append(parents(out[-1], fanout))
+        out.append(stored(parents(out[-1], fanout), "tree-level"))
     return out
 
 
-def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+def differing(nodes: DataFrame) -> DataFrame:
     """(file, node) where the two sides' hashes differ or one is absent."""
-    x, y = a.withColumnRenamed("hash", "ha"), b.withColumnRenamed("hash", "hb")
-    return x.join(y, ["file", "node"], "full_outer").filter(~F.col("ha").eqNullSafe(F.col("hb"))).select("file", "node")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("hash")))
+    return nodes.groupBy("file", "node").agg(of(0).alias("ha"), of(1).alias("hb")).filter(~F.col("ha").eqNullSafe(F.col("hb"))).select("file", "node")
 
 
 def audit(a: DataFrame, b: DataFrame, levels: int = LEVELS, fanout: int = FANOUT) -> DataFrame:
     """(file, seq, kind, key, offset, length of a, key, offset, length of b) of each
     place where the replicas differ: corrupt, missing (from b) or extra (in b)."""
-    ta, tb = tree(a, levels, fanout), tree(b, levels, fanout)
-    bad = differing(ta[-1], tb[-1])
-    for x, y in zip(ta[-2::-1], tb[-2::-1]):
+    both = stored(a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))), "archives")
+    built = tree(both, levels, fanout)
+    bad = stored(differing(built[-1]), "differing")
+    for level in built[-2::-1]:
         above = bad.withColumnRenamed("node", "up")
-        below = [n.withColumn("up", F.floor(F.col("node") / fanout).cast("bigint")).join(above, ["file", "up"], "left_semi").drop("up") for n in (x, y)]
-        bad = differing(*below)
-    at = bad.withColumnRenamed("node", "seq")
-    left = a.join(at, ["file", "seq"], "left_semi").select("file", "seq", F.col("key").alias("key_a"), F.col("offset").alias("offset_a"), F.col("length").alias("length_a"), F.lit(True).alias("in_a"))
-    right = b.join(at, ["file", "seq"], "left_semi").select("file", "seq", F.col("key").alias("key_b"), F.col("offset").alias("offset_b"), F.col("length").alias("length_b"), F.lit(True).alias("in_b"))
-    return left.join(right, ["file", "seq"], "full_outer").select("file", "seq", F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "extra").otherwise("corrupt").alias("kind"), "key_a", "offset_a", "length_a", "key_b", "offset_b", "length_b")
+        below = level.withColumn("up", F.floor(F.col("node") / fanout).cast("bigint")).join(above, ["file", "up"], "left_semi")
+        bad = stored(differing(below), "differing")
+    rows = both.join(bad.withColumnRenamed("node", "seq"), ["file", "seq"], "left_semi")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.struct("key", "offset", "length")))
+    out = rows.groupBy("file", "seq").agg(of(0).alias("x"), of(1).alias("y"))
+    kind = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").otherwise("corrupt")
+    return out.select("file", "seq", kind.alias("kind"), *[F.col(f"{s}.{c}").alias(f"{c}_{n}") for s, n in (("x", "a"), ("y", "b")) for c in ("key", "offset", "length")])
 
 
 _HEAD = re.compile(rb"WARC/[0-9.]+\r\n(.*?)\r\n\r\n", re.S)
