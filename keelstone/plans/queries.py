@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelstone.functions import expr
-from keelstone.operators import cluster, keyspace, streams, vectors
+from keelstone.operators import cluster, groups, keyspace, streams, vectors
 from keelstone.operators import collections as coll
 from keelstone.plans import state
 
@@ -390,6 +390,39 @@ def xinfo_consumers(spark, d):
     return streams.consumers(state.pending(spark, d), NOW)
 
 
+def _groups(spark, d):
+    return state.stream(spark, d).select("key").distinct().select("key", F.lit("g0").alias("grp"), F.lit(0).cast("bigint").alias("last_ms"), F.lit(0).cast("bigint").alias("last_seq"))
+
+
+@query(f"WITH {_STREAM}, last AS (SELECT key, max((ms, seq)) AS b FROM stream GROUP BY key) SELECT key, 'g0' AS grp, CAST(0 AS BIGINT) AS last_ms, CAST(0 AS BIGINT) AS last_seq FROM last UNION ALL SELECT key, 'g1', b[1], b[2] FROM last")
+def xgroup_create(spark, d):
+    s = state.stream(spark, d)
+    ask = s.select("key").distinct().select("key", F.explode(F.array(F.lit("g0"), F.lit("g1"))).alias("grp"), F.lit(None).cast("bigint").alias("ms"), F.lit(None).cast("bigint").alias("seq"))
+    return groups.create(_groups(spark, d), ask, s)[0]
+
+
+@query(f"WITH {_STREAM} SELECT DISTINCT key, 'g0' AS grp, CAST(CASE WHEN key = 'click' THEN 77 ELSE 0 END AS BIGINT) AS last_ms, CAST(CASE WHEN key = 'click' THEN 5 ELSE 0 END AS BIGINT) AS last_seq FROM stream")
+def xgroup_setid(spark, d):
+    g = _groups(spark, d)
+    return groups.set_id(g, g.filter("key = 'click'").select("key", "grp", F.lit(77).cast("bigint").alias("ms"), F.lit(5).cast("bigint").alias("seq")), state.stream(spark, d))
+
+
+@query(f"WITH {_STREAM}, {_CALLS} SELECT key, grp, consumer, count(*) AS pending FROM pel WHERE consumer = 'c1' GROUP BY ALL")
+def xgroup_delconsumer(spark, d):
+    p = state.pending(spark, d)
+    return groups.delete_consumer(p, p.filter("consumer = 'c1'"))[1]
+
+
+@query(f"WITH {_STREAM} SELECT key, count(*) AS length, min((ms, seq))[1] AS first_ms, min((ms, seq))[2] AS first_seq, max((ms, seq))[1] AS last_ms, max((ms, seq))[2] AS last_seq, CAST(1 AS BIGINT) AS groups FROM stream GROUP BY key")
+def stream_directory(spark, d):
+    return groups.directory(state.stream(spark, d), _groups(spark, d))
+
+
+@query(f"WITH {_STREAM}, {_CALLS} SELECT key, grp, count(DISTINCT consumer) AS consumers, count(*) AS pending, CAST(0 AS BIGINT) AS last_ms, CAST(0 AS BIGINT) AS last_seq FROM pel WHERE grp = 'g0' GROUP BY key, grp")
+def xinfo_groups(spark, d):
+    return groups.info(_groups(spark, d), state.pending(spark, d))
+
+
 _SUBS = "subs AS (SELECT n_name AS subscriber, (['click', 'view', 'purchase'])[n_nationkey % 3 + 1] AS channel FROM nation)"
 
 
