@@ -125,7 +125,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     named = label.join(reps, label.node == reps.fp).select("label", "fp", "rep")
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
     moved = named.join(least, "label").select("fp", "least")
-    to = reps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # written, so that the last join has a plain exchange on both sides and Spark can split a hot fingerprint's rows
+    to = stored(reps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "component-ids")
     return rows.join(to, "fp").select("doc_id", "fp", "component_id")
 
 
