@@ -44,6 +44,18 @@ def test_ranks_of_a_hot_key(spark):
     assert all(r["rank"] == r.v + 1 for r in got if r.key == "hot") and sorted(r["rank"] for r in got if r.key is None) == [1, 2] and len(got) == len(rows)
 
 
+def test_stored_tables_are_cleaned(spark):
+    import os
+
+    from keelstone.session import clean, shared_dir, stored
+
+    clean(spark)
+    df = stored(spark.range(5), "five")
+    here = shared_dir(spark).removeprefix("file:")
+    assert df.count() == 5 and any(x.startswith("five-") for x in os.listdir(here))
+    assert clean(spark) == 1 and not any(x.startswith("five-") for x in os.listdir(here))
+
+
 def test_counter_errors(spark):
     rows = [(1, "SET", "a", "x", None), (2, "INCRBY", "a", None, 1), (1, "SET", "b", str(2**63 - 1), None), (2, "INCRBY", "b", None, 1), (1, "SET", "c", "x", None), (1, "INCRBY", "d", None, 41), (2, "INCRBY", "d", None, 1)]
     got = {r.key: (r.value, r.error is None) for r in keyspace.fold_counter(spark.createDataFrame(rows, "seq bigint, cmd string, key string, value string, delta bigint")).collect()}
