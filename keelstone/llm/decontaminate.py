@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelstone.llm.common import longs, map_slices, strings
+from keelstone.llm.common import longs, map_slices, parts, strings
 from keelstone.session import prepare, stored
 
 WINDOW = 10
@@ -255,12 +255,9 @@ def remove_documents(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id",
     def run(batches):
         index = WindowIndex(shipped.value, n)
         for batch in batches:
-            keep = []
-            for i in range(0, batch.num_rows, 256):
-                tokens, bounds = _tokens(batch.column(at).slice(i, 256).to_pylist())
-                keep.append(_sums(index.scan(tokens, bounds)[0], bounds) == 0)
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
+            for part in parts(batch):
+                tokens, bounds = _tokens(part.column(at).to_pylist())
+                yield part.filter(pa.array(_sums(index.scan(tokens, bounds)[0], bounds) == 0))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelstone.llm.common import longs, map_slices
+from keelstone.llm.common import longs, map_slices, parts
 from keelstone.session import prepare
 
 BASE = ("email", "ip", "card", "phone")
@@ -159,9 +159,10 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         anchors = automaton()
-        for b in batches:
-            new = [None if t is None else mask(t, find(t, anchors)) for t in b.column(at).to_pylist()]
-            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+        for batch in batches:
+            for b in parts(batch):
+                new = [None if t is None else mask(t, find(t, anchors)) for t in b.column(at).to_pylist()]
+                yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -19,12 +19,14 @@ every score is 0.5; a null id is scored and never held out.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelstone.llm.common import longs, map_slices
+from keelstone.llm.common import longs, map_slices, parts
 from keelstone.session import prepare
 
 BUCKETS = 1 << 18
@@ -47,11 +49,44 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     return (h >> np.uint64(64 - 18)).astype(np.int32)
 
 
+#: Characters that are hashed at a time. A longer text is read in pieces cut at white
+#: space; the word pair across a cut is not counted.
+BLOCK_CHARS = 1 << 20
+_BLANK = re.compile(r"[ \t\n\r\x0b\x0c]")
+
+
+def blocks(texts: list[str | None]):
+    """Yield (texts, their places) of BLOCK_CHARS characters or little more."""
+    held, places, size = [], [], 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        while len(t) > BLOCK_CHARS and (cut := _BLANK.search(t, BLOCK_CHARS)):
+            yield [t[: cut.start()]], [i]
+            t = t[cut.end() :]
+        held.append(t)
+        places.append(i)
+        size += len(t)
+        if size > BLOCK_CHARS:
+            yield held, places
+            held, places, size = [], [], 0
+    if held:
+        yield held, places
+
+
 def features(texts: list[str | None]):
     """Yield (buckets, owners) for each kind of feature; owners are places in texts, ascending."""
+    yield _bucket(np.zeros(len(texts), np.uint64), 9), np.arange(len(texts))
+    for held, places in blocks(texts):
+        at = np.array(places)
+        for buckets, owner in _features(held):
+            yield buckets, at[owner]
+
+
+def _features(texts: list[str]):
+    """The features of a block's words."""
     buffer, starts, stops, owner, at = [b" "], [], [], [], 1
     for i, t in enumerate(texts):
-        for w in (t or "").encode("utf-8", "replace").split():
+        for w in t.encode("utf-8", "replace").split():
             starts.append(at)
             at += len(w)
             stops.append(at)
@@ -60,7 +95,6 @@ def features(texts: list[str | None]):
             at += 1
         buffer.append(b" ")
         at += 1
-    yield _bucket(np.zeros(len(texts), np.uint64), 9), np.arange(len(texts))
     if not starts:
         return
     raw = np.frombuffer(b"".join(buffer), np.uint8)
@@ -165,8 +199,7 @@ def keep_good(docs: DataFrame, table: np.ndarray, least: float = 0.5) -> DataFra
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in parts(b):
                 yield part.filter(pa.array(score(shipped.value, part.column(at).to_pylist()) >= least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelstone.llm.common import longs, map_slices
+from keelstone.llm.common import longs, map_slices, parts
 from keelstone.llm.pii import mask
 from keelstone.session import prepare
 
@@ -292,8 +292,7 @@ def redact(docs: DataFrame, net: Network | None = None) -> DataFrame:
     def run(batches):
         net = shipped.value
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in parts(b):
                 texts = part.column(at).to_pylist()
                 new = [t if not f else mask(t, [s[:3] for s in f], "[SECRET]") for t, f in zip(texts, find_all(net, texts))]
                 yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
