@@ -138,31 +138,54 @@ def format_conversations(turns: DataFrame, path: str, loss_roles: tuple[str, ...
     return dealt.mapInArrow(run, SCHEMA)
 
 
-def digest_rows(blocks: DataFrame) -> DataFrame:
-    """Per conversation what its blocks say when read back. The hashes run over a
-    conversation's blocks in order, one block in memory at a time."""
+def read_blocks(blocks: DataFrame) -> DataFrame:
+    """What each block says when read back: its turns' role and text lines, and the text under its loss mask."""
     prepare(blocks.sparkSession)
-    dealt = blocks.select("conv_id", "block", "part", "formatted", "starts", "ends", "loss_mask").repartition("conv_id").sortWithinPartitions("conv_id", "block", "part")
+    schema = "conv_id bigint, block bigint, part int, n_turns bigint, said string, under string, chars bigint"
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                conv, block, part, text, starts, ends, mask = (c[i] for c in b.columns)
+                text = text.as_py()
+                turns = read_back(text)
+                offsets = np.stack([starts.values.to_numpy(), ends.values.to_numpy()], 1)
+                under = masked_text(text, offsets, mask.values.to_numpy())
+                values = (conv.as_py(), block.as_py(), part.as_py(), len(turns), "".join(f"{r}\n{t}\n" for r, t in turns), under, len(text))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[f.split()[0] for f in schema.split(", ")])
+
+    return blocks.select("conv_id", "block", "part", "formatted", "starts", "ends", "loss_mask").mapInArrow(run, schema)
+
+
+def digest_rows(blocks: DataFrame) -> DataFrame:
+    """Per conversation what its blocks say when read back. Blocks are read where they
+    were made; the hashes run over a conversation's texts in order, one block in memory
+    at a time."""
+    dealt = read_blocks(blocks).repartition("conv_id").sortWithinPartitions("conv_id", "block", "part")
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
     def run(batches):
         def rows():
             for b in batches:
-                for i in range(b.num_rows):
-                    yield [c[i] for c in b.columns]
+                for i in range(0, b.num_rows, 64):
+                    yield from zip(*(c.to_pylist() for c in b.slice(i, 64).columns))
 
-        for conv, group in groupby(rows(), key=lambda r: r[0].as_py()):
+        out = []
+        for conv, group in groupby(rows(), key=lambda r: r[0]):
             turns, loss, n, n_loss, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-            for _, _, _, text, starts, ends, mask in group:
-                text = text.as_py()
-                size += len(text)
-                for role, body in read_back(text):
-                    n += 1
-                    turns.update(f"{role}\n{body}\n".encode())
-                offsets = np.stack([starts.values.to_numpy(), ends.values.to_numpy()], 1)
-                under = masked_text(text, offsets, mask.values.to_numpy())
-                n_loss += len(under)
+            for _, _, _, k, said, under, chars in group:
+                n, n_loss, size = n + k, n_loss + len(under), size + chars
+                turns.update(said.encode())
                 loss.update(under.encode())
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((conv, pa.int64()), (n, pa.int64()), (turns.hexdigest(), pa.string()), (n_loss, pa.int64()), (loss.hexdigest(), pa.string()), (size, pa.int64()))], names=[f.split()[0] for f in schema.split(", ")])
+            out.append((conv, n, turns.hexdigest(), n_loss, loss.hexdigest(), size))
+            if len(out) == 1000:
+                yield batch(out)
+                out = []
+        yield batch(out)
+
+    def batch(out):
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in schema.split(", ")])
 
     return dealt.mapInArrow(run, schema)
