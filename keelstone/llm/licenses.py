@@ -1,16 +1,18 @@
 """License scans: MinHash bands over overlapping windows, then exact containment.
 
 Texts are cut into lower-case words; windows of `WINDOW` words begin every
-`STRIDE`. Each window's shingles of `SHINGLE` words are hashed, and band b of its
-MinHash is the least of the hashes under the permutation x -> x xor c_b, one row a
-band. Templates have windows at every word. A window that shares a band with a
-template's window retrieves that template; the template is reported if at least
-`CONTAINED` of its distinct shingles, as words, lie in the text around the window.
-
-With r = 1 rows a band and b = `BANDS` bands, windows of Jaccard similarity J meet
-with probability 1 - (1 - J)^b. A verbatim template of five words lies whole in
-some window and has J >= 3/7: 0.9988 for 12 bands. One of WINDOW + STRIDE - 1
-words or more holds a whole window, which equals a template window: 1.
+`STRIDE`. Each window's shingles of `SHINGLE` words are hashed, and the bands of its
+MinHash, one row each, are the least and the greatest of the hashes under the
+permutations x -> x xor c (the greatest is the least under the complement of c).
+Templates have windows at every word. A window that shares a band with a template's
+window retrieves that template; the template is reported if at least `CONTAINED` of
+its distinct shingles, as words, lie in the text around the window.
+
+With r = 1 rows a band and b = 2 * `PERMUTATIONS` bands, windows of Jaccard
+similarity J meet with probability 1 - (1 - J)^b at least. A verbatim template of
+five words lies whole in some window and has J >= 3/7: 0.9988 for 12 bands. One of
+WINDOW + STRIDE - 1 words or more holds a whole window, which equals a template
+window: 1.
 
 Everything is one projection of native functions: no shuffle, no join, no Python
 on the executors. Templates are literals of a bounded, given list.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 SHINGLE = 3
 WINDOW = 9
-STRIDE = 4
-BANDS = 12
+STRIDE = 5
+PERMUTATIONS = 6
 CONTAINED = 0.8
 #: Most words of all templates together: they are literals of the plan.
 MAX_TEMPLATE_WORDS = 20_000
@@ -76,30 +78,35 @@ def shingle_hashes(w: Column) -> Column:
     return F.slice(every, 1, F.greatest(F.size(w) - (SHINGLE - 1), F.lit(0)))
 
 
-def constants(bands: int = BANDS) -> list[int]:
-    """The bands' permutations: a fixed sequence of 64-bit numbers."""
-    out, x = [], 0x2545F4914F6CDD1D
-    for _ in range(bands):
+def constants(n: int = PERMUTATIONS) -> list[int]:
+    """The permutations: 0, then a fixed sequence of 64-bit numbers."""
+    out, x = [0], 0x2545F4914F6CDD1D
+    while len(out) < n:
         x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
         y = (x ^ x >> 31) * 0x9E3779B97F4A7C15 % 2**64
         out.append(y - 2**64 if y >> 63 else y)
     return out
 
 
-def bands(hashes: Column, masks: Column) -> Column:
-    """The MinHash of a window's shingles in each band; band numbers need no tag, for
-    equal values of two bands would need shingles that differ by a given constant."""
-    return F.transform(masks, lambda c: F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(c))))
+def permuted(hashes: Column) -> list[Column]:
+    """The hashes under each permutation."""
+    return [hashes if c == 0 else F.transform(hashes, _xor(c)) for c in constants()]
+
+
+def _xor(c: int):
+    return lambda x: x.bitwiseXOR(F.lit(c))
 
 
-def _masks() -> Column:
-    return F.array(*[F.lit(c) for c in constants()])
+def bands(hashes: Column) -> Column:
+    """A window's bands. Band numbers need no tag: equal values of two bands would need
+    shingles that differ by a given constant."""
+    return F.array(*[f(y) for y in permuted(hashes) for f in (F.array_min, F.array_max)])
 
 
 def _template_bands(spark, texts: list[list[str]]) -> list[set[int]]:
     """The bands of all windows of each template, by the same expressions that texts go through."""
     rows = [(t, w[i : i + WINDOW]) for t, w in enumerate(texts) for i in range(max(1, len(w) - WINDOW + 1))]
-    df = spark.createDataFrame(rows, "t int, w array<string>").select("t", F.explode(bands(shingle_hashes(F.col("w")), _masks())).alias("k")).distinct()
+    df = spark.createDataFrame(rows, "t int, w array<string>").select("t", F.explode(bands(shingle_hashes(F.col("w")))).alias("k")).distinct()
     out: list[set[int]] = [set() for _ in texts]
     for r in df.collect():  # the windows of MAX_TEMPLATE_WORDS words at most
         out[r.t].add(r.k)
@@ -132,11 +139,19 @@ def scan(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str
         mine = F.get(whole, t)
         return F.size(F.array_intersect(mine, here)) / F.size(mine)
 
-    masks = _masks()
+    size = WINDOW - SHINGLE + 1
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), words(F.col(text)).alias("w")).select("doc_id", "w", shingle_hashes(F.col("w")).alias("h"))
     starts = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1, F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
-    met = F.filter(F.transform(starts, lambda p: F.struct(p.alias("p"), F.filter(bands(F.slice(F.col("h"), p + 1, WINDOW - SHINGLE + 1), masks), lambda k: k.isin(known)).alias("k"))), lambda s: F.size(s["k"]) > 0)
-    found = base.select("doc_id", "w", met.alias("met"))
+    mixed = base.select("doc_id", "w", "h", starts.alias("s"), *[y.alias(f"y{i}") for i, y in enumerate(permuted(F.col("h")))])
+
+    def meets(i: int):
+        """Whether the window at p shares a band of permutation i with any template."""
+        window = lambda p: F.slice(f"y{i}", p + 1, size)
+        return lambda p: F.array_min(window(p)).isin(known) | F.array_max(window(p)).isin(known)
+
+    near = F.array_distinct(F.concat(*[F.filter("s", meets(i)) for i in range(PERMUTATIONS)]))
+    met = F.transform("at", lambda p: F.struct(p.alias("p"), F.filter(bands(F.slice("h", p + 1, size)), lambda k: k.isin(known)).alias("k")))
+    found = mixed.select("doc_id", "w", "h", near.alias("at")).select("doc_id", "w", met.alias("met"))
     verified = F.flatten(
         F.transform(
             "met",
