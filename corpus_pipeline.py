@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelstone.llm import decontaminate, packing, quality_model, secrets, simhash
+from keelstone.llm import decontaminate, packing, quality_model, secrets, similar
 from keelstone.llm.queries import vocabulary, vocabulary_ranks
 from keelstone.session import prepare, stored
 
@@ -26,8 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, the one of the least id."""
-    return simhash.keep_one(docs)
+    """Keep one document of each group of near-duplicates (5-word shingles, Jaccard similarity
+    of 0.8 or more), the one of the least id."""
+    return similar.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
