@@ -1,7 +1,7 @@
 """Secret scans: a character convolutional network over every candidate and its context.
 
 Candidates are the base findings (assignments, access keys, long hex runs) and
-every run of `MIN_RUN` or more token characters. The network reads the whole
+every run of `MIN_RUN` or more token characters outside of those. The network reads the whole
 candidate, in overlapping pieces where it is long, with the characters around
 it: character embeddings, one convolution, maximum and mean pooling, a logistic
 output. It is trained in numpy on labelled findings that `labelled_findings`
@@ -63,20 +63,32 @@ def base_findings(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Base findings, and every other long run of token characters, trimmed of end marks."""
+    """Base findings, and every long run of token characters outside of them, trimmed of end marks."""
     base = base_findings(text)
     out = list(base)
+    spans = sorted((x, y) for _, x, y in base)
     for m in _RUN.finditer(text):
-        a, b = m.span()
-        while b > a and text[b - 1] in ".-_":
-            b -= 1
-        while a < b and text[a] in ".-_=":
-            a += 1
-        if b - a >= MIN_RUN and not any(x < b and a < y for _, x, y in base):
-            out.append(("cnn", a, b))
+        for a, b in _outside(*m.span(), spans):
+            while b > a and text[b - 1] in ".-_":
+                b -= 1
+            while a < b and text[a] in ".-_=":
+                a += 1
+            if b - a >= MIN_RUN:
+                out.append(("cnn", a, b))
     return out
 
 
+def _outside(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a to b that no span covers; spans are sorted."""
+    out = []
+    for x, y in spans:
+        if x < b and a < y:
+            if a < x:
+                out.append((a, x))
+            a = y
+    return [*out, (a, b)] if a < b else out
+
+
 def encode(text: str, a: int, b: int) -> np.ndarray:
     """Character codes of the candidate's pieces with context: (pieces, WIDTH) bytes, inside
     characters told from outside ones by 128."""

@@ -106,3 +106,15 @@ def test_edges(spark, edge, none):
         assert out.columns == edge.columns and out.count() == edge.count()
     leaky = spark.createDataFrame([(1, 'mail a@b.cd token = "abcdef12"', 30)], "doc_id bigint, text string, n_chars bigint")
     assert secrets.redact(leaky).first().asDict() == {"doc_id": 1, "text": 'mail a@b.cd [SECRET]"', "n_chars": 21}
+
+
+def test_the_rest_of_a_run_around_a_base_finding_is_scored():
+    """Keys that hang together with a hex run are candidates of their own, and masked."""
+    left, hexes, right = "sk_live_T9fKq2ZxVb7LmR4cWd8N", "0f" * 12, "Hq7ZtB3nYw9KdLx5VfR2mPc8Js4G"
+    text = f"see {left}-{hexes}-{right}. or {hexes}/short"
+    cut = lambda kind: [text[a:b] for k, a, b in secrets.candidates(text) if k == kind]
+    assert cut("hex") == [hexes, hexes] and cut("cnn") == [left, right]
+    found = secrets.find_all(secrets.trained(), [text])[0]
+    assert {text[a:b] for k, a, b, _ in found if k == "cnn"} == {left, right}
+    assert secrets.candidates(hexes) == [("hex", 0, 24)]
+    assert secrets._outside(0, 30, [(2, 9), (5, 12), (6, 7), (29, 40)]) == [(0, 2), (12, 29)]
