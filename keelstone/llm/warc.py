@@ -95,16 +95,35 @@ def audit(a: DataFrame, b: DataFrame, levels: int = LEVELS, fanout: int = FANOUT
 
 
 _HEAD = re.compile(rb"WARC/[0-9.]+\r\n(.*?)\r\n\r\n", re.S)
+#: Where reading goes on after a damaged record.
+_NEXT = re.compile(rb"WARC/[0-9.]+\r\n[A-Za-z-]+:")
+_TAIL = b"\r\n\r\n"
 
 
 def parse(data: bytes) -> list[tuple[int, int, str, bytes]]:
-    """(offset, length, uri, payload) of each record of an uncompressed WARC file."""
+    """(offset, length, uri, payload) of each record of an uncompressed WARC file.
+
+    A record whose header is damaged, or whose length leads neither to an end mark,
+    another header nor the end of the file, reaches to the next header: it is given
+    as one record, so later ones keep their numbers."""
     out, at = [], 0
-    while m := _HEAD.match(data, at):
-        fields = {k.strip().lower(): v.strip() for k, _, v in (h.partition(b":") for h in m[1].split(b"\r\n"))}
-        end = m.end() + int(fields.get(b"content-length", b"0"))
-        stop = end + 4 if data[end : end + 4] == b"\r\n\r\n" else end
-        out.append((at, stop - at, fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), data[m.end() : end]))
+    while at < len(data):
+        m = _HEAD.match(data, at)
+        fields = {k.strip().lower(): v.strip() for k, _, v in (h.partition(b":") for h in m[1].split(b"\r\n"))} if m else {}
+        size = fields.get(b"content-length", b"0")
+        end = m.end() + int(size) if m and size.isdigit() else len(data) + 1
+        marked = data[end : end + 4] == _TAIL
+        stop = end + 4 if marked else end
+        if not (marked or stop == len(data) or _NEXT.match(data, stop)):
+            following = _NEXT.search(data, at + 1)
+            stop = following.start() if following else len(data)
+            whole = m and m.end() <= stop
+            fields = fields if whole else {}
+            start = m.end() if whole else at
+            end = max(start, stop - 4) if data[max(start, stop - 4) : stop] == _TAIL else stop
+        else:
+            start = m.end()
+        out.append((at, stop - at, fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), data[start:end]))
         at = stop
     return out
 

@@ -105,3 +105,32 @@ def test_records_round_trip(spark, tmp_path):
     read = warc.read_files(spark, str(tmp_path))
     assert read.count() == 4 and warc.audit(read, read).count() == 0
     assert warc.archive(df, 2).count() == 4 and warc.audit(warc.archive(df.limit(0), 1), warc.archive(df, 1)).filter("kind = 'extra'").count() == 4
+
+
+def test_one_damaged_header_is_one_corrupt_record(spark, tmp_path):
+    """Damage in a header or its length: later records keep their places."""
+    record = lambda i: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://e.org/%d\r\nContent-Length: 120\r\n\r\n%s\r\n\r\n" % (i, (b"page %d " % i * 20)[:120])
+    whole = [record(i) for i in range(9)]
+    damages = {
+        "magic": lambda r: r.replace(b"WARC/1.0", b"WAXC/1.0"),
+        "longer": lambda r: r.replace(b"Length: 120", b"Length: 920"),
+        "shorter": lambda r: r.replace(b"Length: 120", b"Length: 020"),
+        "nonsense": lambda r: r.replace(b"Length: 120", b"Length: 1?0"),
+        "end": lambda r: r.replace(b"120\r\n\r\n", b"120\r\n\r "),
+    }
+    a, b = tmp_path / "a", tmp_path / "b"
+    a.mkdir()
+    b.mkdir()
+    want = set()
+    for name, damage in damages.items():
+        for at in (0, 4, 8):
+            bad = [damage(r) if i == at else r for i, r in enumerate(whole)]
+            assert bad[at] != whole[at]
+            (a / f"{name}{at}.warc").write_bytes(b"".join(whole))
+            (b / f"{name}{at}.warc").write_bytes(b"".join(bad))
+            got = warc.parse(b"".join(bad))
+            assert [(x, n) for x, n, _, _ in got] == [(len(b"".join(bad[:i])), len(r)) for i, r in enumerate(bad)]
+            want.add((f"{name}{at}.warc", at, "corrupt"))
+    rows = warc.audit(*[warc.read_files(spark, str(p)) for p in (a, b)]).collect()
+    assert {(r.file, r.seq, r.kind) for r in rows} == want
+    assert sum(n for _, n, _, _ in warc.parse(b"".join(whole)[:-70])) == len(b"".join(whole)) - 70 and warc.parse(b"") == []
