@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The folders that stored() has written in this process.
-_STORED: list[str] = []
+#: The folders that stored() has written, by application.
+_STORED: dict[str, list[str]] = {}
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -26,8 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` where the session has it, else the checkpoint
-    folder already set on the context; only without either (tests on one
-    machine) a temporary folder is made and set.
+    folder already set on the context; only without either, and only where all
+    tasks run in the driver's process (tests on one machine), a temporary folder
+    is made and set. On a cluster that would be another folder on each machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -36,11 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     got = sc._jsc.sc().getCheckpointDir()
     if got.isDefined():
         return got.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = tempfile.mkdtemp(prefix="keelstone-")
     sc.setCheckpointDir(base)
     return base
 
 
+def _made(spark: SparkSession) -> list[str]:
+    return _STORED.setdefault(spark.sparkContext.applicationId, [])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it again.
 
@@ -51,7 +60,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STORED.append(path)
+    _made(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,13 +71,27 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 def drop_stored(df: DataFrame) -> None:
     """Delete what stored() wrote, once nothing reads it any more."""
+    made = _made(df.sparkSession)
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         _delete(df.sparkSession, folder)
+        made[:] = [p for p in made if p.rsplit("/", 1)[-1] != folder.rsplit("/", 1)[-1]]
 
 
 def clean(spark: SparkSession) -> int:
     """Delete all that stored() has written so far; how many tables that were."""
-    n = len(_STORED)
-    while _STORED:
-        _delete(spark, _STORED.pop())
+    made = _made(spark)
+    n = len(made)
+    while made:
+        _delete(spark, made.pop())
     return n
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Write what build() gives, delete all that it stored on the way, and read the result again."""
+    before = set(_made(spark))
+    out = stored(build(), name)
+    made = _made(spark)
+    for path in [p for p in made[:-1] if p not in before]:
+        made.remove(path)
+        _delete(spark, path)
+    return out
