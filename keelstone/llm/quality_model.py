@@ -4,8 +4,8 @@ A document is the mean of learned vectors of its features: its words, its word
 pairs, the character n-grams of each word with its bounds, and one feature that
 every document has. All are hashed into `BUCKETS` rows. A softmax layer over that
 mean gives the score. Vectors and layer are trained together by stochastic
-gradient descent in numpy, on at most `TRAIN_ROWS` labelled rows, those of the
-least hashed ids.
+gradient descent in numpy, on at most `TRAIN_ROWS` labelled rows and `TRAIN_BYTES`
+of text, those of the least hashed ids; scoring has no such bounds.
 
 With two labels the output depends on a feature only through the difference of
 its two logits, so workers get one number a bucket, and a score is a mean of
@@ -23,7 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelstone.llm.common import longs, map_slices, parts
@@ -32,8 +32,9 @@ from keelstone.session import prepare
 BUCKETS = 1 << 18
 DIM = 16
 NGRAMS = (3, 4, 5)
-#: Labelled rows that the model learns from, at most.
+#: Labelled rows that the model learns from, and bytes of their texts, at most.
 TRAIN_ROWS = 3000
+TRAIN_BYTES = 64 << 20
 EPOCHS = 8
 RATE = 0.5
 _P = 0x100000001B3
@@ -50,7 +51,7 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
 
 
 #: Characters that are hashed at a time. A longer text is read in pieces cut at white
-#: space; the word pair across a cut is not counted.
+#: space; the last word of a piece is carried over, so its features are those of one piece.
 BLOCK_CHARS = 1 << 20
 _BLANK = re.compile(r"[ \t\n\r\x0b\x0c]")
 
@@ -59,13 +60,13 @@ def blocks(texts: list[str | None]):
     """Yield (texts, their places) of BLOCK_CHARS characters or little more."""
     held, places, size = [], [], 0
     for i, t in enumerate(texts):
-        t = t or ""
-        while len(t) > BLOCK_CHARS and (cut := _BLANK.search(t, BLOCK_CHARS)):
-            yield [t[: cut.start()]], [i]
-            t = t[cut.end() :]
-        held.append(t)
+        t, at = t or "", 0
+        while len(t) - at > BLOCK_CHARS and (cut := _BLANK.search(t, at + BLOCK_CHARS)):
+            yield [t[at : cut.start()]], [i]
+            at = cut.end()
+        held.append(t[at:] if at else t)
         places.append(i)
-        size += len(t)
+        size += len(t) - at
         if size > BLOCK_CHARS:
             yield held, places
             held, places, size = [], [], 0
@@ -76,14 +77,19 @@ def blocks(texts: list[str | None]):
 def features(texts: list[str | None]):
     """Yield (buckets, owners) for each kind of feature; owners are places in texts, ascending."""
     yield _bucket(np.zeros(len(texts), np.uint64), 9), np.arange(len(texts))
+    last: dict[int, np.ndarray] = {}  # the last word's hash of a text that goes on in the next block
     for held, places in blocks(texts):
         at = np.array(places)
-        for buckets, owner in _features(held):
+        before = [last.pop(i, None) for i in places]
+        for buckets, owner in _features(held, before):
             yield buckets, at[owner]
+        if before[-1] is not None:
+            last[places[-1]] = before[-1]
 
 
-def _features(texts: list[str]):
-    """The features of a block's words."""
+def _features(texts: list[str], before: list[np.ndarray | None]):
+    """The features of a block's words. `before` has the hash of the word that precedes each
+    text, where it is the rest of a longer one; its last entry becomes the last word's."""
     buffer, starts, stops, owner, at = [b" "], [], [], [], 1
     for i, t in enumerate(texts):
         for w in t.encode("utf-8", "replace").split():
@@ -108,6 +114,12 @@ def _features(texts: list[str]):
         yield _bucket(word, 1), owner
         same = owner[1:] == owner[:-1]
         yield _bucket(word[:-1] * np.uint64(31) + word[1:], 2)[same], owner[1:][same]
+        for i, h in enumerate(before):
+            first = int(np.searchsorted(owner, i))
+            if h is not None and first < len(owner) and owner[first] == i:
+                yield _bucket(h * np.uint64(31) + word[first : first + 1], 2), np.array([i])
+        if owner[-1] == len(texts) - 1:
+            before[-1] = word[-1:]
         blanks = np.concatenate([[0], np.cumsum(raw == 32)])
         of = np.searchsorted(starts, np.arange(len(raw)), "right") - 1
         of_byte = owner[np.maximum(of, 0)]
@@ -158,12 +170,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> np.ndarray:
-    """The table of bucket logits, learnt from labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+    """The table of bucket logits, learnt from labelled rows that are not held out. Rows are
+    chosen by id and size alone, so no text moves but those that are learnt from."""
     prepare(docs.sparkSession)
+    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     few = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))  # at most train_rows rows of two numbers
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(few, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(train_rows)
+    sized = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size")).join(few, "doc_id").groupBy("doc_id", "h", "size", "y").agg(F.count(F.lit(1)).alias("copies")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(train_rows)
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0)  # of train_rows rows of numbers
+    fit_in = sized.withColumn("sum", F.sum(F.col("size") * F.col("copies")).over(so_far)).filter(F.col("sum") <= train_bytes).select("doc_id", "h", "y")
+    chosen = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(fit_in), ["doc_id", "h"]).select("doc_id", "text", "y")
 
     def work():
         def fn(ids, texts, y):
@@ -181,21 +198,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
     return train([(b, c, y) for _, y, b, c in rows])
 
 
-def classify(docs: DataFrame, table: np.ndarray) -> DataFrame:
+def classify(docs: DataFrame, table: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
     shipped = prepare(docs.sparkSession).sparkContext.broadcast(table)  # one float a bucket, 1 MB
 
     def work():
         return lambda ids, texts: [longs(ids), pa.array(score(shipped.value, texts), pa.float64())]
 
-    out = map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), work, "doc_id bigint, score double")
+    out = map_slices(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), work, "doc_id bigint, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, table: np.ndarray, least: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, table: np.ndarray, least: float = 0.5, text: str = "text") -> DataFrame:
     """The rows whose texts score `least` or more, with all their columns."""
     shipped = prepare(docs.sparkSession).sparkContext.broadcast(table)
-    at = docs.columns.index("text")
+    at = docs.columns.index(text)
 
     def run(batches):
         for b in batches:

@@ -46,23 +46,36 @@ SMALL = 32
 BLOCK = 1 << 14
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The text's fingerprint as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of the text's shingles in order, repeats included; 8 bytes a word."""
     from xxhash import xxh64_intdigest as xxh
 
     tokens = (text or "").encode("utf-8", "replace").lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, "<u8")
     line = b" ".join(tokens)
     n = max(1, len(tokens) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    stops = ends[min(shingle, len(tokens)) - 1 :].tolist()
-    counts = np.zeros(64, np.int64)
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n]
+    stops = ends[min(shingle, len(tokens)) - 1 :]
+    out = np.empty(n, "<u8")
     for at in range(0, n, BLOCK):
-        h = np.array([xxh(line[a:b], 42) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK])], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+        spans = zip(starts[at : at + BLOCK].tolist(), stops[at : at + BLOCK].tolist())
+        out[at : at + BLOCK] = [xxh(line[a:b], 42) for a, b in spans]
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, as a signed 64-bit integer; zero for none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        counts += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The text's fingerprint as a signed 64-bit integer."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,11 +152,31 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     """One row of each group of near-duplicates, with all its columns: the least
     (doc_id, text) of the component; documents without near-duplicates all stay.
     Rows of null ids come after all others."""
-    keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-duplicate-rows")
-    rows = stored(fingerprints(keyed, shingle, "__row"), "fingerprints")
+    keyed = with_rows(docs)
+    rows = stored(fingerprints(keyed, shingle, ROW), "fingerprints")
     reps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     label = components(links(reps.select("fp"), radius))
-    to = rows.join(label, rows.fp == label.node, "left").select(F.col("doc_id").alias("__row"), F.coalesce("label", "fp").alias("label"))
-    ranked = keyed.select("__row", "doc_id", F.xxhash64("text").alias("h")).join(to, "__row")
-    best = ranked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "__row")).alias("b")).select(F.col("b.__row").alias("__row"))
-    return keyed.join(best, "__row", "left_semi").drop("__row")
+    to = rows.join(label, rows.fp == label.node, "left").select(F.col("doc_id").alias("row"), F.coalesce("label", "fp").alias("group"))
+    return drop_losers(keyed, to)
+
+
+#: Name of the row number; longer than any column's of the table at hand.
+ROW = "__row"
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """The documents, written with a number for each row; a column of that name keeps its values under another."""
+    if ROW in docs.columns:
+        docs = docs.withColumnRenamed(ROW, ROW + "_given")
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "near-duplicate-rows")
+
+
+def drop_losers(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of with_rows() but all of each group (groups: row, group) except the best. Only
+    ids meet; the losing ones are few, and while Spark's size limit lets them be broadcast no text is shuffled."""
+    ranked = keyed.select(F.col(ROW).alias("row"), "doc_id", F.xxhash64("text").alias("h")).join(groups, "row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")
+    best = ranked.groupBy("group").agg(F.min(order).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("group", F.col("b.row").alias("best"))
+    losers = stored(groups.join(best, "group").filter("row <> best").select(F.col("row").alias(ROW)), "losing-rows")
+    out = keyed.join(losers, ROW, "left_anti").drop(ROW)
+    return out.withColumnRenamed(ROW + "_given", ROW) if ROW + "_given" in out.columns else out

@@ -4,11 +4,13 @@ have a Jaccard similarity of 0.8 or more.
 Words are those of simhash.fingerprint; a text of fewer words is one shingle, and
 texts without words are alike. Shingles stand as XXH64 hashes.
 
-Candidates: `BANDS` keys of `ROWS` minimum hashes each. Two texts at the least
-similarity share a key with a chance of 1 - (1 - 0.8^4)^24, all but 4 of a million,
-nearer ones with a greater one. (SimHash bits of such texts differ in 10 of 64 on
-average, so covering tables for them would be thousands.) Every pair of a bucket
-is a candidate, and no pair links without the exact check.
+Candidates come from two searches. simhash.links: covering tables over the fingerprints
+of the 5-word shingles meet every pair within its radius. SimHash bits of texts at
+the least similarity differ in 10 of 64 on average, so covering tables for all of
+them would be thousands; the rest is found by `BANDS` keys of `ROWS` minimum hashes
+each: two texts at the least similarity share a key with a chance of 1 - (1 - 0.8^4)^24,
+all but 4 of a million, nearer ones with a greater one. Every pair of such a bucket is a
+candidate, and no pair of either search links without the exact check.
 
 Work in two rounds, so that a large group of near copies is not paired with itself:
 first each member of a bucket is checked against the bucket's least, then only
@@ -18,6 +20,10 @@ the hashes in `WORDS` 64-bit words differ in at most as many bits as the sets do
 members.
 
 Only distinct shingle sets are searched, each standing for all its documents.
+
+Defined results: null, empty and blank texts have no shingles and are one group;
+repeated rows and ties leave the row of the least id, null ids last; empty tables
+give none; other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelstone.llm import simhash
 from keelstone.llm.common import longs, map_slices
 from keelstone.llm.components import components
 from keelstone.session import prepare, stored
@@ -45,17 +52,7 @@ BLOCK = 1 << 10
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of the text's shingles, in order."""
-    from xxhash import xxh64_intdigest as xxh
-
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    line = b" ".join(tokens)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    n = max(1, len(tokens) - shingle + 1)
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    stops = ends[min(shingle, len(tokens)) - 1 :].tolist()
-    return np.unique(np.fromiter((xxh(line[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n))
+    return np.unique(simhash.shingle_hashes(text, shingle))
 
 
 def _factors() -> np.ndarray:
@@ -80,7 +77,7 @@ def _parities(hashes: np.ndarray) -> bytes:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(row, set, n, keys, parities) for every row of (row, text); `set` names the shingle set."""
+    """(row, set, n, fp, keys, parities) for every row of (row, text); `set` names the shingle set."""
 
     def work():
         from xxhash import xxh64_digest as xxh
@@ -88,16 +85,17 @@ def sketches(rows: DataFrame) -> DataFrame:
         factors = _factors()
 
         def one(text):
-            h = shingles(text)
-            return int.from_bytes(xxh(h.tobytes(), 42), "big", signed=True), len(h), _keys(h, factors), _parities(h)
+            every = simhash.shingle_hashes(text, SHINGLE)
+            h = np.unique(every)
+            return int.from_bytes(xxh(h.tobytes(), 42), "big", signed=True), len(h), simhash.majority(every), _keys(h, factors), _parities(h)
 
         def run(ids, texts):
             found = [one(t) for t in texts]
-            return [longs(ids), longs([f[0] for f in found]), longs([f[1] for f in found]), pa.array([f[2] for f in found], pa.list_(pa.int64())), pa.array([f[3] for f in found], pa.binary())]
+            return [longs(ids), longs([f[0] for f in found]), longs([f[1] for f in found]), longs([f[2] for f in found]), pa.array([f[3] for f in found], pa.list_(pa.int64())), pa.array([f[4] for f in found], pa.binary())]
 
         return run
 
-    return map_slices(rows, work, "row bigint, set bigint, n bigint, keys array<bigint>, parities binary")
+    return map_slices(rows, work, "row bigint, set bigint, n bigint, fp bigint, keys array<bigint>, parities binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -168,13 +166,24 @@ def across(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return groups.select("i", "j", "m").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+def covered(distinct: DataFrame) -> DataFrame:
+    """(u, v) candidates whose fingerprints the covering tables link, each fingerprint standing for its
+    least set, and the other sets of a fingerprint with that one."""
+    least = stored(distinct.groupBy("fp").agg(F.min("set").alias("least")), "least-sets")
+    same = distinct.select("set", "fp").join(least, "fp").filter("set <> least").select(F.col("set").alias("u"), F.col("least").alias("v"))
+    end = lambda name, to: least.select(F.col("fp").alias(name), F.col("least").alias(to))
+    near = simhash.links(least.select("fp")).join(end("u", "a"), "u").join(end("v", "b"), "v")
+    return same.union(near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+
+
 def links(distinct: DataFrame, texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(u, v) links that connect all pairs of sets with the least similarity that share a key;
-    distinct: (set, n, keys, parities), texts: (set, text), one row a set."""
+    distinct: (set, n, fp, keys, parities), texts: (set, text), one row a set."""
     spread = distinct.select("set", F.posexplode("keys").alias("t", "key"))
     sized = spread.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size"), F.min("set").alias("least")).filter("size > 1")
     met = stored(spread.join(sized, ["t", "key"]).select("t", "key", "size", "set", "least"), "buckets")
-    near = check(met.filter("set <> least").select(F.col("set").alias("u"), F.col("least").alias("v")).distinct(), texts)
+    starred = met.filter("set <> least").select(F.col("set").alias("u"), F.col("least").alias("v"))
+    near = check(starred.union(covered(distinct)).distinct(), texts)
     label = components(near).withColumnRenamed("node", "set")
     named = stored(met.filter("size > 2").join(label, "set", "left").select("t", "key", "size", "set", F.coalesce("label", "set").alias("label")), "labelled-buckets")
     mixed = named.groupBy("t", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("t", "key")
@@ -186,13 +195,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: the least
     (doc_id, text) of the component; documents without near-duplicates all stay.
     Rows of null ids come after all others."""
-    keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "near-duplicate-rows")
-    rows = stored(sketches(keyed.select(F.col("__row").alias("row"), "text")), "sketches")
+    keyed = simhash.with_rows(docs)
+    rows = stored(sketches(keyed.select(F.col(simhash.ROW).alias("row"), "text")), "sketches")
     reps = rows.groupBy("set").agg(F.min("row").alias("row"))
     distinct = stored(rows.join(reps.select("row"), "row", "left_semi"), "distinct-sets")
-    texts = keyed.select(F.col("__row").alias("row"), "text").join(distinct.select("row", "set"), "row").select("set", "text")
+    texts = keyed.select(F.col(simhash.ROW).alias("row"), "text").join(distinct.select("row", "set"), "row").select("set", "text")
     label = components(links(distinct, texts))
-    to = rows.select(F.col("row").alias("__row"), "set").join(label, F.col("set") == F.col("node"), "left").select("__row", F.coalesce("label", "set").alias("group"))
-    ranked = keyed.select("__row", "doc_id", F.xxhash64("text").alias("h")).join(to, "__row")
-    best = ranked.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "__row")).alias("b")).select(F.col("b.__row").alias("__row"))
-    return keyed.join(best, "__row", "left_semi").drop("__row")
+    to = rows.select("row", "set").join(label, F.col("set") == F.col("node"), "left").select("row", F.coalesce("label", "set").alias("group"))
+    return simhash.drop_losers(keyed, to)
