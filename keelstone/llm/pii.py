@@ -118,8 +118,13 @@ def find(text: str | None, anchors) -> list[tuple[str, int, int]]:
                 added.append((tag, *m.span(1)))
     rank = KINDS.index
     taken: dict[str, int] = {}
-    for kind, a, b in sorted(set(added), key=lambda s: (s[1], rank(s[0]))):
-        if a >= taken.get(kind, 0) and not any(x < b and a < y for _, x, y in spans if _ in BASE):
+    base = sorted((a, b) for _, a, b in spans)
+    at, reach = 0, 0  # the base spans that begin before the added one's end, and how far they go
+    for kind, a, b in sorted(set(added), key=lambda s: (s[2], s[1])):
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][1])
+            at += 1
+        if a >= taken.get(kind, 0) and reach <= a:
             taken[kind] = b
             spans.append((kind, a, b))
     return sorted(spans, key=lambda s: (s[1], rank(s[0])))

@@ -1,23 +1,28 @@
 """Secret scans: a character convolutional network over every candidate and its context.
 
-Candidates are the base findings (assignments, access keys, long hex runs) and
-every run of `MIN_RUN` or more token characters outside of those. The network reads the whole
-candidate, in overlapping pieces where it is long, with the characters around
-it: character embeddings, one convolution, maximum and mean pooling, a logistic
-output. It is trained in numpy on labelled findings that `labelled_findings`
-generates from a seed, calibrated on a held-out third by Platt scaling, and the
-threshold is the largest that keeps `MIN_RECALL` of the held-out secrets.
-
-Base findings always stay; other candidates above the threshold are added as
-kind "cnn". Every span carries its calibrated score.
+Candidates are the base findings (assignments, access keys, long hex runs), every
+run of `MIN_RUN` or more token characters outside of those, and runs of `SHORT_RUN`
+or more that begin within `CUE_REACH` characters after a cue word on its line. The
+network reads the whole candidate, in overlapping pieces where it is long, with the
+characters around it: character embeddings, one convolution, maximum and mean
+pooling, a logistic output. It is trained in numpy on labelled findings that
+`labelled_findings` generates from a seed, and calibrated by Platt scaling on
+findings of another seed and another mix of shapes; the threshold is the largest
+that keeps `MIN_RECALL` of those secrets.
+
+Base findings always stay, as the contract asks; about every other candidate the
+network decides, and those above the threshold are added as kind "cnn". Every span
+carries its calibrated score.
 
 Defined results: null and empty texts have no spans; repeated rows are each
-reported; null ids are kept; offsets are code points, ends exclusive.
+reported; null ids are kept; offsets are code points, ends exclusive. Time is linear
+in a text's length and its candidates.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -31,21 +36,24 @@ from keelstone.session import prepare
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "cnn")
-MIN_RUN = 16
+MIN_RUN, SHORT_RUN, CUE_REACH = 16, 8, 24
 MIN_RECALL = 0.97
 CONTEXT = 20
 PIECE = 64
 WIDTH = CONTEXT + PIECE + CONTEXT
 STRIDE = 48
 EMBED, FILTERS, KERNEL = 8, 24, 5
-#: Labelled findings that are generated for training and calibration together.
-FINDINGS = 6000
+#: Labelled findings that are generated for training, and half as many for calibration.
+FINDINGS = 5000
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ASSIGN_CUE = re.compile(r"(?ai:passw|secret|token|api_?key)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % MIN_RUN)
+_RUN_START = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]|\n")
+_ANY_RUN = re.compile(r"[A-Za-z0-9+/_=.-]+")
+_CUE = re.compile(r"(?ai:passw(?:or)?d|passphrase|pwd|secret|token|(?:api|access|private|licen[cs]e)[_ -]?key|credentials?|bearer|authorization)")
 
 
 def base_findings(text: str) -> list[tuple[str, int, int]]:
@@ -63,45 +71,79 @@ def base_findings(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Base findings, and every long run of token characters outside of them, trimmed of end marks."""
+    """Base findings, and the runs of token characters outside of them that the network is to judge,
+    trimmed of end marks."""
     base = base_findings(text)
     out = list(base)
-    spans = sorted((x, y) for _, x, y in base)
-    for m in _RUN.finditer(text):
-        for a, b in _outside(*m.span(), spans):
+    spans = merged([(x, y) for _, x, y in base])
+    for a, b, least in _runs(text):
+        for a, b in _outside(a, b, spans):
             while b > a and text[b - 1] in ".-_":
                 b -= 1
             while a < b and text[a] in ".-_=":
                 a += 1
-            if b - a >= MIN_RUN:
+            if b - a >= least:
                 out.append(("cnn", a, b))
     return out
 
 
+def _runs(text: str):
+    """(start, end, least length) of each long run, and of the shorter ones that a cue announces."""
+    for m in _RUN.finditer(text):
+        yield *m.span(), MIN_RUN
+    seen = 0
+    for cue in _CUE.finditer(text):
+        at = max(cue.end(), seen)
+        while (m := _RUN_START.search(text, at, cue.end() + CUE_REACH)) and m[0] != "\n":
+            run = _ANY_RUN.match(text, m.start())
+            at = seen = run.end()
+            if SHORT_RUN <= run.end() - run.start() < MIN_RUN:
+                yield *run.span(), SHORT_RUN
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _outside(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of a to b that no span covers; spans are sorted."""
+    """The parts of a to b that no span covers; spans are those of merged()."""
     out = []
-    for x, y in spans:
-        if x < b and a < y:
-            if a < x:
-                out.append((a, x))
-            a = y
+    at = max(0, bisect_right(spans, (a, a)) - 1)
+    while at < len(spans) and spans[at][0] < b:
+        x, y = spans[at]
+        if a < x:
+            out.append((a, x))
+        a = max(a, y)
+        at += 1
     return [*out, (a, b)] if a < b else out
 
 
-def encode(text: str, a: int, b: int) -> np.ndarray:
-    """Character codes of the candidate's pieces with context: (pieces, WIDTH) bytes, inside
-    characters told from outside ones by 128."""
-    rows = []
-    for at in range(a, max(a + 1, b - (PIECE - STRIDE)), STRIDE):
-        stop = min(b, at + PIECE)
-        left, mid, right = text[max(0, at - CONTEXT) : at], text[at:stop], text[stop : stop + CONTEXT]
-        row = np.zeros(WIDTH, np.uint8)
-        for s, off, flag in ((left, CONTEXT - len(left), 0), (mid, CONTEXT, 128), (right, CONTEXT + len(mid), 0)):
-            code = np.frombuffer(s.encode("ascii", "replace"), np.uint8)
-            row[off : off + len(s)] = np.where((code < 32) | (code > 126), 32, code) | flag
-        rows.append(row)
-    return np.array(rows)
+def codes(text: str) -> np.ndarray:
+    """One printable ASCII byte a character, blanks for all others."""
+    c = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+    return np.where((c < 32) | (c > 126), 32, c).astype(np.uint8)
+
+
+def encode(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Character codes of the spans' pieces with context, (pieces, WIDTH) bytes, and how many
+    pieces each span has. Inside characters are told from outside ones by 128; places
+    before and after the text, and after the right context, are 0."""
+    starts = [np.arange(a, max(a + 1, b - (PIECE - STRIDE)), STRIDE) for a, b in spans]
+    sizes = np.array([len(x) for x in starts])
+    at = np.concatenate(starts)
+    stop = np.minimum(np.repeat([b for _, b in spans], sizes), at + PIECE)
+    place = at[:, None] - CONTEXT + np.arange(WIDTH)
+    known = (place >= 0) & (place < np.minimum(stop + CONTEXT, len(text))[:, None])
+    rows = np.where(known, codes(text)[np.clip(place, 0, len(text) - 1)], 0).astype(np.uint8)
+    inside = (place >= at[:, None]) & (place < stop[:, None])
+    return rows | (inside * np.uint8(128)), sizes
 
 
 class Network:
@@ -179,8 +221,9 @@ _WORDS = "time year people way day man thing woman life child world school state
 _LOWER, _UPPER, _NUM = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = 42) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): keys of common shapes and look-alikes, in prose and in code."""
+def labelled_findings(n: int = FINDINGS, seed: int = 42, other: bool = False) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label): keys of common shapes and look-alikes, in prose, logs, settings
+    and code. `other` mixes in shapes that the plain set does not have."""
     g = np.random.default_rng(seed)
     pick = lambda seq: seq[int(g.integers(len(seq)))]
     chars = lambda seq, a, b: "".join(pick(seq) for _ in range(int(g.integers(a, b + 1))))
@@ -188,68 +231,97 @@ def labelled_findings(n: int = FINDINGS, seed: int = 42) -> list[tuple[str, int,
     syllable = lambda: pick("bcdfghklmnprstvwz") + pick(("a", "e", "i", "o", "u", "ea", "ou")) + pick(("", "", "n", "r", "s", "t", "nd", "st"))
     invented = lambda: "".join(syllable() for _ in range(int(g.integers(5, 11))))
     foreign = lambda: "".join(pick(("é", "ß", "ción", "ü", "è", "ñ", "ê", "st", "der", "que")) for _ in range(int(g.integers(2, 5))))
-    secret = (
+    mixed = _LOWER + _UPPER + _NUM
+    numeral = lambda: chars("123456789", 1, 1) + chars(_NUM, 0, 2)
+
+    def short():
+        """A password of 8 to 15 characters: letters of both cases or a word, and digits."""
+        return pick((lambda: pick(_UPPER) + chars(mixed, 5, 11) + chars(_NUM, 2, 3), lambda: word().capitalize()[:7] + chars(_NUM, 3, 4) + chars(mixed, 2, 3), lambda: chars(_LOWER + _NUM, 5, 10) + chars(_NUM, 3, 4)))()
+
+    secret = [
         lambda: chars("0123456789abcdef", 24, 64),
-        lambda: chars("0123456789ABCDEF", 24, 48),
-        lambda: chars(_LOWER + _UPPER + _NUM, 20, 64),
-        lambda: chars(_LOWER + _UPPER + _NUM + "+/", 27, 86) + pick(("", "=", "==")),
+        lambda: chars("0123456789ABCDEF", 20, 48),
+        lambda: chars("0123456789abcdefABCDEF", 20, 40),
+        lambda: chars(mixed, 18, 64),
+        lambda: chars(mixed + "+/", 24, 86) + pick(("", "=", "==")),
         lambda: "AKIA" + chars(_UPPER + _NUM, 16, 16),
-        lambda: pick(("ghp_", "gho_", "sk_live_", "rk_test_", "xoxb-", "pk_", "glpat-", "npm_")) + chars(_LOWER + _UPPER + _NUM, 20, 40),
-        lambda: "eyJ" + chars(_LOWER + _UPPER + _NUM, 17, 40) + "." + chars(_LOWER + _UPPER + _NUM + "_-", 20, 60),
-        lambda: chars(_LOWER + _NUM, 24, 48),
-    )
-    plain = (
+        lambda: pick(("ghp_", "gho_", "sk_live_", "rk_test_", "xoxb-", "pk_", "glpat-", "npm_")) + chars(mixed, 20, 40),
+        lambda: "eyJ" + chars(mixed, 17, 40) + "." + chars(mixed + "_-", 20, 60),
+        lambda: chars(_LOWER + _NUM, 22, 48),
+        lambda: "-".join(chars(_UPPER + _NUM, 5, 5) for _ in range(int(g.integers(4, 6)))),
+    ]
+    plain = [
         lambda: invented(),
         lambda: invented().upper(),
         lambda: invented().capitalize(),
-        lambda: "".join(word() for _ in range(4)),
         lambda: "".join(word().capitalize() for _ in range(4)),
-        lambda: "_".join(word() for _ in range(4)),
-        lambda: "-".join(word() for _ in range(4)),
+        lambda: pick((word(), "get", "set", "on")) + "".join(word().capitalize() for _ in range(3)) + pick(("", "2", "V3", "Id", "Url")),
+        lambda: pick("_-").join(word() for _ in range(4)) + pick(("", "_2", "-v2", "_" + chars(_NUM, 2, 4))),
         lambda: "/" + "/".join(word() for _ in range(4)) + pick(("", ".py", ".html", ".txt")),
         lambda: ".".join([word(), word(), "example", pick(("com", "org", "net")), word()]),
         lambda: f"20{chars(_NUM, 2, 2)}-{chars('01', 2, 2)}-{chars('012', 2, 2)}T{chars('01', 2, 2)}",
         lambda: chars(_LOWER, 16, 40),
         lambda: chars(_UPPER, 16, 40),
-        lambda: pick(_UPPER) + chars(_LOWER, 15, 40),
         lambda: chars(_NUM, 16, 24),
-        lambda: chars(_NUM, 16, 19),
         lambda: chars(_NUM, 16, 16),
-        lambda: pick(("-", ".")).join(chars(_NUM, 3, 4) for _ in range(5)),
+        lambda: pick(("-", ".")).join(chars(_NUM, 3, 4) for _ in range(int(g.integers(4, 7)))),
         lambda: pick("=-_.+/") * int(g.integers(16, 40)) + word(),
         lambda: f"{word()}.{word()}.{chars(_NUM, 1, 2)}.{word()}{chars(_NUM, 1, 2)}",
-        lambda: f"v{chars(_NUM, 1, 2)}.{chars(_NUM, 1, 2)}.{chars(_NUM, 1, 2)}-{word()}-{word()}",
+        lambda: f"v{numeral()}.{numeral()}.{numeral()}-{word()}-{word()}",
         lambda: f"{word()}={word()}+{word()}/{word()}{chars(_NUM, 1, 2)}",
         lambda: pick(("aaaaaaaa", "hahaha", "abababab", "ooooooo")) * 3,
         lambda: invented() + "." + word() + chars(_NUM, 1, 2),
-    )
+        lambda: f"{chars(_NUM, 2, 2)}@mail{numeral()}.example.com {word()}"[3:],
+    ]
+    if other:
+        secret += [
+            lambda: chars(_UPPER + "234567", 24, 32),
+            lambda: chars(mixed + "-_", 32, 43),
+            lambda: chars("0123456789abcdef", 8, 8) + "." + chars(mixed, 16, 24),
+            lambda: "SG." + chars(mixed + "_-", 22, 22) + "." + chars(mixed + "_-", 30, 43),
+        ] * 2
+        plain += [
+            lambda: f"{word()}_{word()}_20{chars(_NUM, 2, 2)}{chars(_NUM, 4, 4)}.{pick(('csv', 'parquet', 'log', 'jpg'))}",
+            lambda: f"{word()}-{word()}.{word()}.internal.{pick(('com', 'net'))}/{word()}",
+            lambda: f"{chars(_NUM, 4, 5)}/{chars(_NUM, 6, 8)}-{chars(_NUM, 2, 4)}",
+            lambda: f"{invented()}-{invented()}",
+            lambda: f"{word().capitalize()}{word().capitalize()}Exception.{word()}",
+        ] * 2
     hint = ('token = "', "secret: ", "api_key=", "Authorization: Bearer ", "password: ", "export KEY=", "key ", "credentials ", 'auth="')
+    cue = ("password", "passwd", "pwd", "secret", "token", "api key", "access key", "passphrase", "credentials", "Bearer", "private key", "Password", "API key", "license key")
+    link = (" ", " is ", " was ", ": ", " -> ", " (", ' "', " for it: ", "\t", " now ")
     out = []
     for i in range(n):
         label = i % 2
-        body = pick(secret if label else plain)()
         prose = lambda k: " ".join(pick((invented, word, word, foreign))() for _ in range(k))
-        left = prose(6) + pick((" ", "\n", ". "))
-        if g.random() < (0.5 if label else 0.12):
-            left += pick(hint)
-        elif g.random() < 0.2:
-            left += pick(('"', "(", "'", "| ", "<", "$$$ "))
+        left = pick((lambda: prose(6) + pick((" ", "\n", ". ")), lambda: f"{chars(_NUM, 2, 2)}:{chars(_NUM, 2, 2)} INFO {word()}: ", lambda: f"{word()}_{word()}: {numeral()}\n", lambda: f"def {word()}({word()}):\n    "))()
+        if g.random() < 0.2:  # runs that only a cue makes candidates
+            body = short() if label else pick((lambda: invented()[:13], lambda: word() + pick(("", "s")) + word()[:6], lambda: word().capitalize() + word()[:7], lambda: word() + "-" + word()[:6], lambda: f"20{chars(_NUM, 2, 2)}-{chars('01', 2, 2)}-{chars('012', 2, 2)}", lambda: chars(_NUM, 8, 10)))()
+            body = (body + chars(_LOWER, 8, 8) if len(body) < SHORT_RUN else body)[: MIN_RUN - 1]
+            left += pick(cue) + pick(link)
+        else:
+            body = pick(secret if label else plain)()
+            chance = g.random()
+            if chance < (0.5 if label else 0.12):
+                left += pick(hint)
+            elif chance < (0.6 if label else 0.3):
+                left += pick(('"', "(", "'", "| ", "<", "$$$ ", "https://", "id="))
         out.append((left + body + pick((" ", " ", '" ', ", ", ". ", "\n", ") ", "!! ", "### ")) + prose(5), len(left), len(left) + len(body), label))
     return out
 
 
+def _encoded(found: list[tuple[str, int, int, int]]) -> tuple[list[np.ndarray], np.ndarray]:
+    return [encode(t, [(a, b)])[0] for t, a, b, _ in found], np.array([f[3] for f in found], np.float32)
+
+
 @lru_cache(maxsize=2)
 def trained(n: int = FINDINGS, seed: int = 42) -> Network:
-    """The network, trained on two thirds of the findings and calibrated on the rest."""
-    found = labelled_findings(n, seed)
-    x = [encode(t, a, b) for t, a, b, _ in found]
-    y = np.array([f[3] for f in found], np.float32)
-    hold = np.arange(n) % 6 >= 4  # both labels in each part
-    train = np.flatnonzero(~hold)
+    """The network, trained on one set of findings and calibrated on another one."""
+    x, y = _encoded(labelled_findings(n, seed))
     net = Network()
-    net.fit(np.concatenate([x[i] for i in train]), np.concatenate([np.full(len(x[i]), y[i], np.float32) for i in train]))
-    held = np.flatnonzero(hold)
-    net.calibrate(np.array([net.logits(x[i]).max() for i in held], float), y[held].astype(float))
+    net.fit(np.concatenate(x), np.concatenate([np.full(len(r), v, np.float32) for r, v in zip(x, y)]))
+    held, z = _encoded(labelled_findings(n // 2, seed + 1000, other=True))
+    net.calibrate(np.array([net.logits(r).max() for r in held], float), z.astype(float))
     return net
 
 
@@ -258,16 +330,16 @@ def find_all(net: Network, texts: list[str | None]) -> list[list[tuple[str, int,
     forward pass takes the candidates of all texts given."""
     owner, cand, rows, sizes = [], [], [], []
     for i, t in enumerate(texts):
-        for c in candidates(t) if t else ():
-            r = encode(t, c[1], c[2])
-            owner.append(i)
-            cand.append(c)
+        if t and (c := candidates(t)):
+            r, n = encode(t, [(a, b) for _, a, b in c])
+            owner += [i] * len(c)
+            cand += c
             rows.append(r)
-            sizes.append(len(r))
+            sizes.append(n)
     out: list[list] = [[] for _ in texts]
     if cand:
         z = net.logits(np.concatenate(rows))
-        score = net.chance(np.maximum.reduceat(z, np.concatenate([[0], np.cumsum(sizes)[:-1]])))
+        score = net.chance(np.maximum.reduceat(z, np.concatenate([[0], np.cumsum(np.concatenate(sizes))[:-1]])))
         for i, (kind, a, b), s in zip(owner, cand, score.tolist()):
             if kind != "cnn" or s >= net.threshold:
                 out[i].append((kind, a, b, s))
