@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import random
 import re
 
 import pytest
@@ -134,3 +136,51 @@ def test_one_damaged_header_is_one_corrupt_record(spark, tmp_path):
     rows = warc.audit(*[warc.read_files(spark, str(p)) for p in (a, b)]).collect()
     assert {(r.file, r.seq, r.kind) for r in rows} == want
     assert sum(n for _, n, _, _ in warc.parse(b"".join(whole)[:-70])) == len(b"".join(whole)) - 70 and warc.parse(b"") == []
+
+
+def records(n, seed=1):
+    g = random.Random(seed)
+    return [b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: http://x/%d\r\nContent-Length: %d\r\n\r\n" % (i, k) + bytes(g.randrange(32, 127) for _ in range(k)) + b"\r\n\r\n" for i, k in enumerate(g.randrange(40) for _ in range(n))]
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_a_damaged_byte_costs_one_record_at_most(pack):
+    parts = [pack(r) for r in records(9)]
+    data = b"".join(parts)
+    whole = [(o, n, u) for o, n, u, _ in warc.parse(data)]
+    assert len(whole) == 9 and [u for _, _, u in whole] == [f"http://x/{i}" for i in range(9)] and [n for _, n, _ in whole] == [len(p) for p in parts]
+    for at in range(len(data)):
+        for flip in (1, 0xFF):
+            got = warc.parse(data[:at] + bytes([data[at] ^ flip]) + data[at + 1 :])
+            assert len({(o, n, u) for o, n, u, _ in got} & set(whole)) >= 8, (at, flip)
+            assert [o for o, *_ in got[1:]] == [o + n for o, n, *_ in got[:-1]]
+
+
+def test_audit_of_files_equals_brute_force(spark, tmp_path):
+    """Lost, added, exchanged and damaged records: one row each, wherever the rest has moved."""
+    good = records(300)
+    bad = list(good)
+    bad[250] = good[250].replace(b"http", b"ftp")
+    bad[200] = good[200][:-5] + b"?" + good[200][-4:]
+    bad.insert(100, records(1, 9)[0].replace(b"x/0", b"new"))
+    del bad[40]
+    for side, rows, pack in (("a", good, bytes), ("b", bad, bytes), ("c", good, gzip.compress), ("d", bad, gzip.compress)):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / ("f.warc" + ".gz" * (pack is not bytes))).write_bytes(b"".join(map(pack, rows)))
+    for x, y in ("ab", "cd"):
+        found = warc.audit(*(warc.read_files(spark, str(tmp_path / s)) for s in (x, y)))
+        want = [(40, "missing"), (99, "extra"), (250, "corrupt")] + ([(200, "corrupt")] if len(good[200]) else [])
+        assert sorted((r.seq, r.kind) for r in found.collect()) == sorted(want)
+    moved = warc.audit(*(warc.read_files(spark, str(tmp_path / s)) for s in "ab"), moved=True).filter("kind = 'moved'")
+    assert moved.count() == 257  # all that is whole behind the lost record
+
+
+def test_files_are_bounded_whatever_the_keys(spark):
+    rows = [(None, "u", f"t{i % 700}") for i in range(2000)] + [(5, "u", "same")] * 1500 + [(i, f"u{i}", "z") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    a = warc.archive(pages, 3, most=256)
+    n = {r.file: (r["count"], r.s) for r in a.groupBy("file").agg(F.count("*").alias("count"), (F.max("seq") + 1).alias("s")).collect()}
+    assert sum(c for c, _ in n.values()) == 3800 and all(c == s <= 256 for c, s in n.values())
+    assert warc.audit(a, warc.archive(pages, 3, most=256)).count() == 0
+    lost = warc.audit(a, warc.archive(pages.filter("page_id is null or page_id <> 290"), 3, most=256)).collect()
+    assert [(r.kind, r.key_a) for r in lost] == [("missing", 290)]
