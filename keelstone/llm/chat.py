@@ -1,9 +1,10 @@
 r"""Chat formatting with offset-aligned loss masks.
 
 The template writes a turn as ``<turn>role<text>text</turn>`` and a newline. In
-roles and texts a backslash is doubled and one is put behind the ``<`` of each
-control string, so no text can imitate a marker, and dropping one backslash
-before any character gives the original back.
+roles and texts a backslash is doubled and one is put behind the first character of each
+control string, the template's own and those that the vocabulary keeps whole, so no text can
+imitate a marker or a control token, and dropping one backslash before any character gives
+the original back.
 
 A conversation is rendered in blocks of `BLOCK_TURNS` turn numbers and each block
 is encoded once, with offsets. Blocks begin and end at the control strings, which
@@ -21,12 +22,13 @@ conversation of its own.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelstone.session import prepare
@@ -36,24 +38,34 @@ LOSS_ROLES = ("assistant",)
 BLOCK_TURNS = 64
 #: Characters of a block that are encoded together; longer blocks are cut between turns.
 BLOCK_CHARS = 1 << 20
-_CONTROL = re.compile(r"<(/?turn>|text>)")
+#: Blocks that are handed on together, unless they hold more than BLOCK_CHARS characters.
+BATCH_BLOCKS = 64
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"<turn>(.*?)<text>(.*?)</turn>\n", re.S)
 
 
-def escape(text: str) -> str:
-    return _CONTROL.sub(r"<\\\1", text.replace("\\", "\\\\"))
+def control_pattern(tokens: tuple[str, ...] = ()) -> re.Pattern:
+    """Where any control string begins: the template's, and the given ones."""
+    every = sorted({OPEN, BODY, CLOSE, *(t for t in tokens if len(t) > 1)})
+    return re.compile("(?=" + "|".join(map(re.escape, every)) + ")(.)", re.S)
+
+
+_CONTROL = control_pattern()
+
+
+def escape(text: str, control: re.Pattern = _CONTROL) -> str:
+    return control.sub(r"\1\\", text.replace("\\", "\\\\"))
 
 
 def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[str, int, int]]]:
+def render(turns: list[tuple[str, str]], control: re.Pattern = _CONTROL) -> tuple[str, list[tuple[str, int, int]]]:
     """The formatted text, and each turn's role with the span of its text."""
     out, spans, at = [], [], 0
     for role, text in turns:
-        head, body = OPEN + escape(role) + BODY, escape(text)
+        head, body = OPEN + escape(role, control) + BODY, escape(text, control)
         spans.append((role, at + len(head), at + len(head) + len(body)))
         out += [head, body, CLOSE, "\n"]
         at += len(head) + len(body) + len(CLOSE) + 1
@@ -78,6 +90,12 @@ def tokenizer(path: str):
     return t
 
 
+def control_tokens(path: str) -> tuple[str, ...]:
+    """The strings that the vocabulary at `path` takes whole, wherever they stand."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens", ()))
+
+
 def loss_mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """1 for each token that overlaps a span; offsets (n, 2) and spans are both sorted."""
     mask = np.zeros(len(offsets), np.int8)
@@ -100,6 +118,14 @@ def masked_text(formatted: str, offsets: np.ndarray, mask: np.ndarray) -> str:
 SCHEMA = "conv_id bigint, block bigint, part int, n_turns int, formatted string, input_ids array<int>, starts array<int>, ends array<int>, loss_mask array<tinyint>"
 
 
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<tinyint>": pa.list_(pa.int8())}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _ARROW[t]) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
 def format_conversations(turns: DataFrame, path: str, loss_roles: tuple[str, ...] = LOSS_ROLES, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """One row a block, in the order of conv_id, block and part: the formatted
     text, its token ids, their offsets and the loss mask."""
@@ -108,7 +134,7 @@ def format_conversations(turns: DataFrame, path: str, loss_roles: tuple[str, ...
     dealt = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
 
     def run(batches):
-        tok = tokenizer(path)
+        tok, control = tokenizer(path), control_pattern(control_tokens(path))
 
         def pieces():
             """Runs of one block's turns of at most BLOCK_CHARS characters or one turn."""
@@ -126,24 +152,42 @@ def format_conversations(turns: DataFrame, path: str, loss_roles: tuple[str, ...
             if held:
                 yield key, part, held
 
+        rows, size = [], 0
         for (conv, block), part, held in pieces():
-            text, spans = render(held)
+            text, spans = render(held, control)
             e = tok.encode(text, add_special_tokens=False)
             offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
             mask = loss_mask(offsets, [(a, b) for r, a, b in spans if r in loss_roles])
-            values = (conv, block, part, len(held), text, e.ids, offsets[:, 0], offsets[:, 1], mask)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int8()))
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+            rows.append((conv, block, part, len(held), text, e.ids, offsets[:, 0], offsets[:, 1], mask))
+            size += len(text)
+            if len(rows) == BATCH_BLOCKS or size > BLOCK_CHARS:
+                yield _batch(rows, SCHEMA)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, SCHEMA)
 
     return dealt.mapInArrow(run, SCHEMA)
 
 
+def whole_conversations(blocks: DataFrame) -> DataFrame:
+    """(conv_id, formatted, input_ids, starts, ends, loss_mask): each conversation as one sequence,
+    with offsets into its whole text. A conversation is one row, so it has to fit in a task's memory."""
+    got = blocks.withColumn("chars", F.char_length("formatted").cast("bigint")).withColumn("before", F.coalesce(F.sum("chars").over(Window.partitionBy("conv_id").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    parts = got.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "part", "formatted", "input_ids", *[F.transform(c, _moved).alias(c) for c in ("starts", "ends")], "loss_mask"))).alias("b"))
+    return parts.select("conv_id", F.array_join("b.formatted", "").alias("formatted"), *[F.flatten(f"b.{c}").alias(c) for c in ("input_ids", "starts", "ends", "loss_mask")])
+
+
+def _moved(x):
+    return x + F.col("before")
+
+
 def read_blocks(blocks: DataFrame) -> DataFrame:
     """What each block says when read back: its turns' role and text lines, and the text under its loss mask."""
     prepare(blocks.sparkSession)
     schema = "conv_id bigint, block bigint, part int, n_turns bigint, said string, under string, chars bigint"
 
     def run(batches):
+        rows, size = [], 0
         for b in batches:
             for i in range(b.num_rows):
                 conv, block, part, text, starts, ends, mask = (c[i] for c in b.columns)
@@ -151,9 +195,13 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
                 turns = read_back(text)
                 offsets = np.stack([starts.values.to_numpy(), ends.values.to_numpy()], 1)
                 under = masked_text(text, offsets, mask.values.to_numpy())
-                values = (conv.as_py(), block.as_py(), part.as_py(), len(turns), "".join(f"{r}\n{t}\n" for r, t in turns), under, len(text))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[f.split()[0] for f in schema.split(", ")])
+                rows.append((conv.as_py(), block.as_py(), part.as_py(), len(turns), "".join(f"{r}\n{t}\n" for r, t in turns), under, len(text)))
+                size += len(text)
+                if len(rows) == BATCH_BLOCKS or size > BLOCK_CHARS:
+                    yield _batch(rows, schema)
+                    rows, size = [], 0
+        if rows:
+            yield _batch(rows, schema)
 
     return blocks.select("conv_id", "block", "part", "formatted", "starts", "ends", "loss_mask").mapInArrow(run, schema)
 
@@ -180,12 +228,8 @@ def digest_rows(blocks: DataFrame) -> DataFrame:
                 loss.update(under.encode())
             out.append((conv, n, turns.hexdigest(), n_loss, loss.hexdigest(), size))
             if len(out) == 1000:
-                yield batch(out)
+                yield _batch(out, schema)
                 out = []
-        yield batch(out)
-
-    def batch(out):
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in schema.split(", ")])
+        yield _batch(out, schema)
 
     return dealt.mapInArrow(run, schema)

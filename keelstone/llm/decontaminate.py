@@ -4,9 +4,11 @@ Texts are lower-cased in A-Z and cut into words of digits, a-z and every
 character beyond ASCII. A window is `n` consecutive words of a benchmark item;
 an item of fewer words, but not none, is one window. Workers hash the windows of
 every whole document with a rolling hash, look the hashes up in a bit table and
-then in the exact set of window texts, and mark each word inside an occurrence.
+then in the exact set of window texts, and mark each word inside an occurrence. The set is
+built once, as sorted hashes with places in one buffer of the items' words, and a
+worker loads it once.
 
-Benchmark texts beyond `MAX_BROADCAST_BYTES` are not broadcast: workers then
+An index of more than `MAX_BROADCAST_BYTES` is not broadcast: workers then
 keep only the document windows that a Bloom filter of fixed size admits, and an
 equi-join with the table of item windows verifies them.
 
@@ -28,8 +30,8 @@ from keelstone.llm.common import longs, map_slices, parts, strings
 from keelstone.session import prepare, stored
 
 WINDOW = 10
-#: Item texts up to this many bytes are sent to every worker.
-MAX_BROADCAST_BYTES = 16 << 20
+#: An index up to this many bytes is sent to every worker; _index_bytes() bounds it beforehand.
+MAX_BROADCAST_BYTES = 64 << 20
 #: Bits of the Bloom filter for larger benchmarks, as a power of two (32 MB).
 BLOOM_BITS = 28
 _FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -60,41 +62,73 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowIndex:
-    """The windows of all items: exact texts by hash, behind a bit table."""
+    """The distinct windows of all items, by length: sorted hashes behind a bit table, each with
+    its place in one buffer of words and the range of its items."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], n: int = WINDOW):
-        self.exact: dict[int, dict[bytes, set[str]]] = {}
-        for item, w in items:
-            k = min(n, len(w))
-            if k:
-                by = self.exact.setdefault(k, {})
-                for i in range(len(w) - k + 1):
-                    by.setdefault(b" ".join(w[i : i + k]), set()).add(item)
-        self.bits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for k, by in self.exact.items():
-            flat = [x for g in by for x in g.split(b" ")]
-            h = np.unique(window_hashes(word_hashes(flat), k)[::k])
-            table = np.zeros(1 << 20, bool)
-            table[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.bits[k] = (table, h)
+        self.names = [item for item, _ in items]
+        self.buffer = b"".join(b" ".join(w) + b" " for _, w in items)
+        rows: dict[int, list[list[np.ndarray]]] = {}
+        at = 0
+        for item, (_, w) in enumerate(items):
+            if k := min(n, len(w)):
+                ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1 + at
+                starts = np.concatenate([[at], ends[:-1] + 1])
+                m = len(w) - k + 1
+                rows.setdefault(k, []).append([window_hashes(word_hashes(w), k), starts[:m], ends[k - 1 :], np.full(m, item, np.int32)])
+            at += sum(map(len, w)) + max(1, len(w))
+        self.parts = {k: self._sorted(*(np.concatenate([r[i] for r in of]) for i in range(4))) for k, of in rows.items()}
+
+    def _sorted(self, h, start, end, item):
+        """Windows of one text as one entry: (bit table, hashes, starts, ends, bounds of items, items)."""
+        order = np.lexsort((item, h))
+        h, start, end, item = h[order], start[order], end[order], item[order]
+        new = np.ones(len(h), bool)
+        clash = np.flatnonzero(h[1:] == h[:-1]) + 1  # equal hashes: nearly always equal texts
+        for i in clash.tolist():
+            new[i] = self.buffer[start[i] : end[i]] != self.buffer[start[i - 1] : end[i - 1]]
+        for i in clash[new[clash]].tolist():  # two texts of one hash: put those of each together
+            lo, hi = np.searchsorted(h, h[i], "left"), np.searchsorted(h, h[i], "right")
+            by = sorted(range(lo, hi), key=lambda x: (self.buffer[start[x] : end[x]], item[x]))
+            start[lo:hi], end[lo:hi], item[lo:hi] = start[by], end[by], item[by]
+            new[lo:hi] = [x == lo or self.buffer[start[x] : end[x]] != self.buffer[start[x - 1] : end[x - 1]] for x in range(lo, hi)]
+        first = np.flatnonzero(new)
+        table = np.zeros(1 << 20, bool)
+        table[(h >> np.uint64(44)).astype(np.int64)] = True
+        return table, h[first], start[first], end[first], np.append(first, len(h)), item
 
     def scan(self, tokens: list[bytes], bounds: np.ndarray) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Hit words of concatenated documents that end at `bounds`, and the items by document."""
         hit = np.zeros(len(tokens), bool)
-        found: dict[int, set[str]] = {}
+        met: dict[int, set[tuple[int, int]]] = {}
         h = word_hashes(tokens)
-        for k, (table, known) in self.bits.items():
+        for k, (table, known, start, end, _, _) in self.parts.items():
             g = window_hashes(h, k)
             at = np.flatnonzero(table[(g >> np.uint64(44)).astype(np.int64)])
-            at = at[np.isin(g[at], known)]
+            place = np.searchsorted(known, g[at])
+            ok = known[np.minimum(place, len(known) - 1)] == g[at]
+            at, place = at[ok], place[ok]
             doc = np.searchsorted(bounds, at, side="right")
-            for p, d in zip(at.tolist(), doc.tolist()):
-                if p + k <= bounds[d] and (items := self.exact[k].get(b" ".join(tokens[p : p + k]))):
-                    hit[p : p + k] = True
-                    found.setdefault(d, set()).update(items)
+            for p, d, e in zip(at.tolist(), doc.tolist(), place.tolist()):
+                if p + k > bounds[d]:
+                    continue
+                text = b" ".join(tokens[p : p + k])
+                while e < len(known) and known[e] == g[p]:
+                    if self.buffer[start[e] : end[e]] == text:
+                        hit[p : p + k] = True
+                        met.setdefault(d, set()).add((k, e))
+                        break
+                    e += 1
+        found = {d: {self.names[i] for k, e in windows for i in self.parts[k][5][self.parts[k][4][e] : self.parts[k][4][e + 1]]} for d, windows in met.items()}
         return hit, found
 
 
+def _index_bytes(items: DataFrame) -> int:
+    """A bound of the index's bytes: its words with a blank each, and hash, places and item of a window a word."""
+    n_words = F.regexp_count(F.lower("text"), F.lit("[0-9a-z\\x{80}-\\x{10ffff}]+"))
+    return items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item") + 100 + 40 * n_words), F.lit(0))).first()[0]
+
+
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
@@ -134,13 +168,12 @@ def find_contamination(docs: DataFrame, bench: DataFrame, n: int = WINDOW, doc_i
     spark = prepare(docs.sparkSession)
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     items = bench.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")).filter("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
-    if size > max_broadcast_bytes:
+    if _index_bytes(items) > max_broadcast_bytes:
         return _by_join(src, items, n)
-    shipped = spark.sparkContext.broadcast([(r.item, words(r.text)) for r in items.toLocalIterator()])
+    shipped = spark.sparkContext.broadcast(WindowIndex([(r.item, words(r.text)) for r in items.toLocalIterator()], n))
 
     def work():
-        index = WindowIndex(shipped.value, n)
+        index = shipped.value
 
         def fn(ids, texts):
             tokens, bounds = _tokens(texts)
@@ -215,7 +248,12 @@ def _by_join(src: DataFrame, items: DataFrame, n: int) -> DataFrame:
         return fn
 
     cand = map_slices(keyed.select("uid", "text"), probe, "uid bigint, at int, k int, h bigint, gram string")
-    hits = cand.join(grams, ["k", "h", "gram"]).groupBy("uid", "at", "k").agg(F.collect_set("item").alias("items")).groupBy("uid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sort_array(F.collect_list(F.struct("at", F.expr("at + k").alias("end")))).alias("runs"))
+    # a document's occurrences are checked against distinct windows, and meet the items of a window once
+    window = ["k", "h", "gram"]
+    hits = stored(cand.join(grams.select(*window).distinct(), window, "left_semi"), "verified-windows")
+    runs = hits.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", F.expr("at + k").alias("end")))).alias("runs"))
+    of = hits.select("uid", *window).distinct().join(grams, window).select("uid", "item").distinct().groupBy("uid").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    hits = runs.join(of, "uid")
 
     def finish():
         def fn(ids, texts, items_of, runs):
@@ -235,25 +273,25 @@ def _by_join(src: DataFrame, items: DataFrame, n: int) -> DataFrame:
     return map_slices(keyed.join(hits, "uid", "left").select("doc_id", "text", "items", "runs"), finish, SCHEMA)
 
 
-def remove_documents(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
+def remove_documents(docs: DataFrame, bench: DataFrame, n: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """The documents without any hit, each with all of its columns.
 
     The scan carries the row itself through one narrow map, so rows with null or
-    repeated ids are judged by their own text.
+    repeated ids are judged by their own text. Beyond the broadcast, rows get a number and
+    those with hits are dropped by it.
     """
     spark = prepare(docs.sparkSession)
-    n = kw.get("n", WINDOW)
-    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").filter("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
-    if size > kw.get("max_broadcast_bytes", MAX_BROADCAST_BYTES):
-        keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-rows")
-        hit = _by_join(keyed.select(F.col("__row").alias("doc_id"), "text"), items, n).filter("n_hit > 0").select(F.col("doc_id").alias("__row"))
-        return keyed.join(hit, "__row", "left_anti").drop("__row")
-    shipped = spark.sparkContext.broadcast([(r.item, words(r.text)) for r in items.toLocalIterator()])
-    at = docs.columns.index("text")
+    items = bench.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")).filter("text is not null")
+    if _index_bytes(items) > max_broadcast_bytes:
+        row = next(c for c in ("__row", "__row_number", "__decontaminate_row_number") if c not in docs.columns)
+        keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+        hit = _by_join(keyed.select(F.col(row).alias("doc_id"), F.col(text).alias("text")), items, n).filter("n_hit > 0").select(F.col("doc_id").alias(row))
+        return keyed.join(stored(hit, "contaminated-rows"), row, "left_anti").drop(row)
+    shipped = spark.sparkContext.broadcast(WindowIndex([(r.item, words(r.text)) for r in items.toLocalIterator()], n))
+    at = docs.columns.index(text)
 
     def run(batches):
-        index = WindowIndex(shipped.value, n)
+        index = shipped.value
         for batch in batches:
             for part in parts(batch):
                 tokens, bounds = _tokens(part.column(at).to_pylist())

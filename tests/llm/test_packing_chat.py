@@ -94,23 +94,39 @@ def test_packing_edges(edge, none):
     assert packing.pack_documents(none, PATH).count() == 0
 
 
-TEXT = st.text(alphabet="ab\\<>/ \n turnext é🙂", max_size=30) | st.sampled_from(["</turn>", "<turn>", "<\\turn>", "\\", queries.TRICKY, "<text>\\</turn>"])
+TEXT = st.text(alphabet="ab\\<>/ \n turnext é🙂", max_size=30) | st.sampled_from(["</turn>", "<turn>", "<\\turn>", "\\", queries.TRICKY, "<text>\\</turn>", "<|endoftext|>", "<|endof<|endoftext|>", "<\\|endoftext|>", "<<turn>"])
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "", "<turn>"]), TEXT), min_size=1, max_size=6))
 def test_chat_round_trip(turns):
-    text, spans = chat.render(turns)
+    text, spans = chat.render(turns, CONTROL)
     assert chat.read_back(text) == turns
     e = TOK.encode(text, add_special_tokens=False)
     offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
     mask = chat.loss_mask(offsets, [(a, b) for r, a, b in spans if r == "assistant"])
     assert chat.masked_text(text, offsets, mask) == "".join(t for r, t in turns if r == "assistant")
-    halves = [chat.render(turns[:2])[0], chat.render(turns[2:])[0]]
+    ids = [TOK.token_to_id(t) for t in (chat.OPEN, chat.BODY, chat.CLOSE, "<|endoftext|>")]
+    assert [e.ids.count(i) for i in ids] == [len(turns)] * 3 + [0]
+    halves = [chat.render(turns[:2], CONTROL)[0], chat.render(turns[2:], CONTROL)[0]]
     assert [i for h in halves if h for i in TOK.encode(h, add_special_tokens=False).ids] == e.ids
 
 
 TOK = chat.tokenizer(PATH)
+CONTROL = chat.control_pattern(chat.control_tokens(PATH))
+
+
+def test_whole_conversations(spark):
+    """Blocks put together: offsets lead into the whole text, ids are those of one encoding."""
+    rows = [(c, i, ("user", "assistant")[i % 2], f"é turn {i} <|endoftext|>" * (i % 5)) for c, n in ((1, 150), (2, 3)) for i in range(n)]
+    got = chat.whole_conversations(chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), PATH)).collect()
+    assert {r.conv_id for r in got} == {1, 2}
+    for r in got:
+        turns = [(role, t) for c, _, role, t in rows if c == r.conv_id]
+        e = TOK.encode(r.formatted, add_special_tokens=False)
+        assert chat.read_back(r.formatted) == turns and list(r.input_ids) == e.ids and list(zip(r.starts, r.ends)) == e.offsets
+        offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
+        assert chat.masked_text(r.formatted, offsets, np.array(r.loss_mask)) == "".join(t for role, t in turns if role == "assistant")
 
 
 def test_chat_edges(spark):
