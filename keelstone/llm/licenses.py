@@ -9,13 +9,17 @@ window retrieves that template; the template is reported if at least `CONTAINED`
 its distinct shingles, as words, lie in the text around the window.
 
 With r = 1 rows a band and b = 2 * `PERMUTATIONS` bands, windows of Jaccard
-similarity J meet with probability 1 - (1 - J)^b at least. A verbatim template of
+similarity J meet with probability 1 - (1 - J)^b where bands are independent. Those of
+xor permutations are not quite: over all notices with one word replaced, the tests
+measure how many are found. A verbatim template of
 five words lies whole in some window and has J >= 3/7: 0.9988 for 12 bands. One of
 WINDOW + STRIDE - 1 words or more holds a whole window, which equals a template
 window: 1.
 
 Everything is one projection of native functions: no shuffle, no join, no Python
-on the executors. Templates are literals of a bounded, given list.
+on the executors. Templates are literals of the plan up to `MAX_LITERAL_WORDS` words of
+all together. Longer lists are a table: the bands of texts' windows meet those of the
+templates' windows in an equi-join, and the same containment check follows.
 
 Defined results: null and empty texts, and texts of fewer words than a shingle,
 match nothing (a template has at least `SHINGLE` words); repeated rows are each
@@ -29,13 +33,16 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelstone.session import stored
+
 SHINGLE = 3
 WINDOW = 9
 STRIDE = 5
 PERMUTATIONS = 6
 CONTAINED = 0.8
-#: Most words of all templates together: they are literals of the plan.
-MAX_TEMPLATE_WORDS = 20_000
+#: Most words of all templates together that become literals of the plan, and that are broadcast as a table.
+MAX_LITERAL_WORDS = 20_000
+MAX_BROADCAST_WORDS = 2_000_000
 
 #: Notices that licenses ask for, and sentences that mark them.
 TEMPLATES = (
@@ -108,17 +115,64 @@ def _template_bands(spark, texts: list[list[str]]) -> list[set[int]]:
     rows = [(t, w[i : i + WINDOW]) for t, w in enumerate(texts) for i in range(max(1, len(w) - WINDOW + 1))]
     df = spark.createDataFrame(rows, "t int, w array<string>").select("t", F.explode(bands(shingle_hashes(F.col("w")))).alias("k")).distinct()
     out: list[set[int]] = [set() for _ in texts]
-    for r in df.collect():  # the windows of MAX_TEMPLATE_WORDS words at most
+    for r in df.collect():  # the windows of MAX_LITERAL_WORDS words at most
         out[r.t].add(r.k)
     return out
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:
+def contained_share(mine: Column, n: Column, w: Column, p: Column) -> Column:
+    """The share of a template's distinct shingles (of n words) in the words around the window at p."""
+    first = F.greatest(p - n, F.lit(0))
+    around = F.slice(w, first + 1, p - first + WINDOW + n)
+
+    def share(near: Column) -> Column:
+        here = F.transform(F.sequence(F.lit(1), F.greatest(F.size(near) - (SHINGLE - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(near, i, SHINGLE)))
+        return F.size(F.array_intersect(mine, here)) / F.size(mine)
+
+    return F.get(F.transform(F.array(around), share), F.lit(0))  # around is cut once, not once a shingle
+
+
+def _starts(h: Column, stride: int) -> Column:
+    return F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+
+
+def _windows(h: Column, starts: Column) -> Column:
+    """Place and distinct bands of each window, as structs."""
+    return F.transform(starts, lambda p: F.struct(p.alias("p"), F.array_distinct(bands(F.slice(h, p + 1, WINDOW - SHINGLE + 1))).alias("k")))
+
+
+def _by_join(docs: DataFrame, templates, texts: list[list[str]], doc_id: str, text: str, contained: float) -> DataFrame:
+    """scan() for templates that are too many for literals. Equal texts are searched once; only
+    bands, places and, of texts with candidates, the words are joined."""
+    spark = docs.sparkSession
+    rows = [(t, name, w) for t, ((name, _), w) in enumerate(zip(templates, texts))]
+    table = spark.createDataFrame(rows, "t int, license string, w array<string>")
+    shingled = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1)), lambda i: F.concat_ws(" ", F.slice("w", i, SHINGLE))))
+    known = stored(table.select("t", "license", F.size("w").alias("n"), shingled.alias("mine"), shingle_hashes(F.col("w")).alias("h")), "templates")
+    last = F.greatest(F.size("h") - (WINDOW - SHINGLE + 1), F.lit(0))  # the templates' windows are whole, as a text's are
+    owners = known.select("t", F.explode(_windows(F.col("h"), F.sequence(F.lit(0), last))).alias("x")).select("t", F.explode("x.k").alias("k")).distinct()
+    small = F.broadcast if sum(map(len, texts)) <= MAX_BROADCAST_WORDS else lambda df: df
+    keyed = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("id"), words(F.col(text)).alias("w"))
+    hashed = keyed.select("id", shingle_hashes(F.col("w")).alias("h"))
+    each = hashed.select("id", F.explode(_windows(F.col("h"), _starts(F.col("h"), STRIDE))).alias("x")).select("id", "x.p", F.explode("x.k").alias("k"))
+    met = each.join(small(owners), "k").select("id", "t", "p").distinct().groupBy("id", "t").agg(F.collect_list("p").alias("at"))
+    texts_met = keyed.select("id", "w").join(met.groupBy("id").agg(F.collect_list(F.struct("t", "at")).alias("c")), "id").dropDuplicates(["id"])
+    pairs = texts_met.select("id", "w", F.explode("c").alias("c")).select("id", "w", "c.t", "c.at").join(small(known.select("t", "license", "n", "mine")), "t")
+    share = F.array_max(F.transform("at", lambda p: contained_share(F.col("mine"), F.col("n"), F.col("w"), p)))
+    good = pairs.select("id", "license", "t", share.alias("share")).filter(F.col("share") >= contained)
+    found = stored(good.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("license", F.col("t").alias("template"), F.col("share").alias("containment")))).alias("matches")), "license-matches")
+    none = F.array().cast("array<struct<license:string,template:int,containment:double>>")
+    return keyed.select("doc_id", "id").join(found, "id", "left").select("doc_id", F.coalesce("matches", none).alias("matches"))
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str = "text", contained: float = CONTAINED, literal_words: int = MAX_LITERAL_WORDS) -> DataFrame:
     """(doc_id, matches): per document the distinct licenses and templates found, as
     structs of license, template and containment."""
     texts = [template_words(t) for _, t in templates]
-    if any(len(w) < SHINGLE for w in texts) or sum(map(len, texts)) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates need {SHINGLE} words each and {MAX_TEMPLATE_WORDS} together at most")
+    if any(len(w) < SHINGLE for w in texts):
+        raise ValueError(f"templates need {SHINGLE} words each")
+    if sum(map(len, texts)) > literal_words:
+        return _by_join(docs, templates, texts, doc_id, text, contained)
     keys = _template_bands(docs.sparkSession, texts)
     owners: dict[int, list[int]] = {}
     for t, ks in enumerate(keys):
@@ -132,17 +186,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str
 
     def share(t: Column, w: Column, p: Column) -> Column:
         """The share of template t's shingles in the words around the window at p."""
-        n = F.get(lengths, t)
-        first = F.greatest(p - n, F.lit(0))
-        near = F.slice(w, first + 1, p - first + WINDOW + n)
-        here = F.transform(F.sequence(F.lit(1), F.greatest(F.size(near) - (SHINGLE - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(near, i, SHINGLE)))
-        mine = F.get(whole, t)
-        return F.size(F.array_intersect(mine, here)) / F.size(mine)
+        return contained_share(F.get(whole, t), F.get(lengths, t), w, p)
 
     size = WINDOW - SHINGLE + 1
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), words(F.col(text)).alias("w")).select("doc_id", "w", shingle_hashes(F.col("w")).alias("h"))
-    starts = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1, F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
-    mixed = base.select("doc_id", "w", "h", starts.alias("s"), *[y.alias(f"y{i}") for i, y in enumerate(permuted(F.col("h")))])
+    mixed = base.select("doc_id", "w", "h", _starts(F.col("h"), STRIDE).alias("s"), *[y.alias(f"y{i}") for i, y in enumerate(permuted(F.col("h")))])
 
     def meets(i: int):
         """Whether the window at p shares a band of permutation i with any template."""

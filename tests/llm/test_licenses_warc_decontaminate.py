@@ -198,3 +198,37 @@ def test_windows_of_one_hash_are_told_apart(monkeypatch, spark, sf, docs):
     cut = decontaminate.WindowIndex(items).scan(tokens, bounds)
     assert cut[0].tolist() == plain[0].tolist() and cut[1] == plain[1] and len(plain[1]) == 13
     assert plain[1][1] == {"short"} | {str(i) for i in range(30) if i % 4 == 1}
+
+
+def test_notices_with_a_word_replaced_are_found(spark):
+    """Every notice of 14 words or more, each word replaced in turn, at five offsets: containment
+    is 0.8 or more wherever a replaced word is in few enough shingles, and all of those are found."""
+    rows, want = [], {}
+    for t, (_, text) in enumerate(licenses.TEMPLATES):
+        w = licenses.template_words(text)
+        whole = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+        for at in range(len(w)) if len(w) >= 14 else ():
+            for off in range(5):
+                v = [f"x{j}" for j in range(off)] + w[:at] + ["replaced"] + w[at + 1 :] + [f"y{j}" for j in range(30)]
+                share = len(whole & {tuple(v[i : i + 3]) for i in range(len(v) - 2)}) / len(whole)
+                if share >= licenses.CONTAINED:
+                    want[len(rows)] = (t, share)
+                    rows.append((len(rows), " ".join(v)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: {m.template: m.containment for m in r.matches} for r in licenses.scan(df).collect()}
+    missed = [i for i, (t, share) in want.items() if abs(got[i].get(t, 0) - share) > 1e-9]
+    assert len(want) > 500 and len(missed) <= 0.005 * len(want), (len(missed), len(want))
+
+
+def test_large_template_lists_give_the_same(spark, edge, none):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    key = lambda r: (r.doc_id, [tuple(m) for m in r.matches])
+    joined = licenses.scan(docs, literal_words=0)
+    assert sorted(map(key, joined.collect())) == sorted(map(key, licenses.scan(docs).collect()))
+    assert sum(bool(r.matches) for r in joined.collect()) > 20
+    assert licenses.scan(edge, literal_words=0).count() == edge.count() and licenses.scan(none, literal_words=0).count() == 0
+    many = [(f"L{t}", " ".join(f"v{t}w{i * i % 997}" for i in range(400))) for t in range(250)]
+    rows = [(t, f"before {text} after") for t, (_, text) in enumerate(many)] + [(-1, "v1w0 v1w1 v1w4 nothing else")]
+    got = {r.doc_id: [(m.license, m.containment) for m in r.matches] for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), many).collect()}
+    assert got == {t: [(f"L{t}", 1.0)] for t in range(250)} | {-1: []}
