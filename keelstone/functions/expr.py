@@ -11,7 +11,8 @@ SLOTS = 16384
 
 
 def glob_regex(pattern: str) -> str:
-    """A path-style glob as a Java regex: * and ? stop at a slash, [..] classes, backslash escapes."""
+    """A path-style glob as a Java regex: * and ? stop at a slash, [..] classes, backslash escapes.
+    An open class or a backslash at the end makes a pattern that nothing matches."""
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
@@ -19,10 +20,15 @@ def glob_regex(pattern: str) -> str:
             out.append("[^/]*")
         elif c == "?":
             out.append("[^/]")
-        elif c == "\\" and i + 1 < len(pattern):
+        elif c == "\\":
             i += 1
+            if i == len(pattern):
+                return "(?!)"
             out.append(re.escape(pattern[i]))
-        elif c == "[" and (end := pattern.find("]", i + 2)) > 0:
+        elif c == "[":
+            end = pattern.find("]", i + 2)
+            if end < 0:
+                return "(?!)"
             body = pattern[i + 1 : end]
             negated = body.startswith("^")
             body = re.sub(r"([\[\]&\\])", r"\\\1", body[negated:])
@@ -122,6 +128,12 @@ def counter(text: Column) -> Column:
     return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
 
 
+def fnv1a(value: Column) -> Column:
+    """32-bit FNV-1a of a string's UTF-8 bytes, as a bigint."""
+    codes = F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode(value, "utf-8")), "(..)", "$1,"), ","), lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("bigint"))
+    return F.aggregate(codes, F.lit(2166136261).cast("bigint"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def epoch_ms(ts: Column) -> Column:
     """Milliseconds since the epoch of a timestamp, rounded down."""
     return F.unix_millis(ts.cast("timestamp"))

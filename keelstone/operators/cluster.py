@@ -16,6 +16,11 @@ def count_by_slot(keys: DataFrame) -> DataFrame:
     return slotted(keys).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
 
 
+def keys_in_slot(keys: DataFrame, slot: int, n: int) -> DataFrame:
+    """GETKEYSINSLOT: the first n keys of a slot; n is the command's argument."""
+    return slotted(keys).filter(F.col("slot") == slot).select("key").orderBy("key").limit(n)
+
+
 def slot_ranges(owners: DataFrame) -> DataFrame:
     """(owner, first, last) of each run of consecutive slots; at most SLOTS rows come in."""
     w = Window.partitionBy("owner").orderBy("slot")

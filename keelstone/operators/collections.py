@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import deque
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelstone.functions.ranking import ranks, top
@@ -29,12 +29,6 @@ def hset(ops: DataFrame) -> DataFrame:
     return ops.groupBy("key", "field").agg(F.max_by("value", "seq").alias("value"))
 
 
-def hset_new(state: DataFrame, ops: DataFrame) -> DataFrame:
-    """Per key how many fields a batch of writes adds."""
-    fresh = ops.select("key", "field").distinct().join(state.select("key", "field"), ["key", "field"], "left_anti")
-    return fresh.groupBy("key").agg(F.count(F.lit(1)).alias("added"))
-
-
 def hget(requests: DataFrame, state: DataFrame) -> DataFrame:
     """HGET and HMGET: requests (pos, key, field) with values, null for misses."""
     return requests.join(state, ["key", "field"], "left").select("pos", "key", "field", "value")
@@ -45,6 +39,27 @@ def hgetall(state: DataFrame) -> DataFrame:
     return state.groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("fields"))
 
 
+def hkeys(state: DataFrame) -> DataFrame:
+    """HKEYS: the field names of every hash."""
+    return state.select("key", "field")
+
+
+def hvals(state: DataFrame) -> DataFrame:
+    """HVALS: the values of every hash, repeats included."""
+    return state.select("key", "value")
+
+
+def members(sets: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """SMEMBERS: each set's distinct members, of the given keys only where there are some."""
+    out = sets.select("key", "member").distinct()
+    return out if keys is None else out.join(keys.select("key").distinct(), "key", "left_semi")
+
+
+def zscore(requests: DataFrame, zsets: DataFrame) -> DataFrame:
+    """ZSCORE: requests (key, member) with scores, null for members that are not there."""
+    return requests.join(zsets.select("key", "member", "score"), ["key", "member"], "left").select("key", "member", "score")
+
+
 def remove(state: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
     """HDEL, SREM, ZREM, XDEL, XACK: the rest of the state."""
     return state.join(gone.select(*on), on, "left_anti")
@@ -162,8 +177,3 @@ def zrange(zsets: DataFrame, start: int, stop: int, reverse: bool = False) -> Da
         return out.withColumn("rank", (F.col("__n") - F.col("rn")).cast("bigint")).drop("rn", "__n")
     ranked = ranks(zsets, ["key"], order).withColumn("idx", F.col("rank") - 1)
     return lrange(ranked.drop("rank"), start, stop).withColumnRenamed("idx", "rank")
-
-
-def window_rank(zsets: DataFrame) -> DataFrame:
-    """Ranks where every key is known to be small: one window."""
-    return zsets.withColumn("rank", (F.row_number().over(Window.partitionBy("key").orderBy("score", "member")) - 1).cast("bigint"))

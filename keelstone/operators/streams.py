@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelstone.functions.ranking import ranks, top
+from keelstone.functions.ranking import ranks, running, top
+from keelstone.session import stored
 
 ORDER = ("ms", "seq")
 
@@ -19,9 +20,10 @@ def auto_ids(events: DataFrame, order: str) -> DataFrame:
 
 
 def refused(adds: DataFrame) -> DataFrame:
-    """XADD with given ids (key, arrival, ms, seq): the ones that do not exceed all before."""
-    w = Window.partitionBy("key").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    return adds.withColumn("before", F.max(F.struct("ms", "seq")).over(w)).filter(F.col("before").isNotNull() & (F.struct("ms", "seq") <= F.col("before"))).drop("before")
+    """XADD with given ids (key, arrival, ms, seq): the ones that do not exceed all before. A
+    stream may hold any share of all rows."""
+    seen = running(adds, ["key"], ["arrival"], {"before": ("max", F.struct("ms", "seq"))})
+    return seen.filter(F.col("before").isNotNull() & (F.struct("ms", "seq") <= F.col("before"))).drop("before")
 
 
 def _between(lo: tuple[int, int] | None, hi: tuple[int, int] | None):
@@ -61,20 +63,49 @@ def xinfo(stream: DataFrame) -> DataFrame:
     return one.select("key", "length", F.col("a.ms").alias("first_ms"), F.col("a.seq").alias("first_seq"), F.col("b.ms").alias("last_ms"), F.col("b.seq").alias("last_seq"))
 
 
-def deliver(stream: DataFrame, calls: DataFrame) -> DataFrame:
+#: Ranks of a stream that one row of a call's span stands for.
+SPAN = 1024
+
+
+def deliver(stream: DataFrame, calls: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """XREADGROUP `>` for a schedule of calls (call_seq, grp, consumer, cnt, ts_ms) on each key:
     (key, ms, seq, grp, consumer, call_seq, delivery_ms, delivery_count).
 
-    A call takes the next cnt entries after its group's cursor, so each call owns a range
-    of ranks. Entries are ranked by key, whatever a key's share; calls are widened to one
-    row a rank, which makes the range join an equi-join.
+    groups (key, grp, last_ms, last_seq) are the groups there are and their cursors; without them
+    every group of the schedule begins before the first entry. A call takes the next cnt
+    entries after its group's cursor, all that are left where cnt is null or not above zero,
+    so each call owns a range of ranks. Entries are ranked once by key, whatever a key's share
+    and whatever the number of groups; a cursor is a rank too. Spans are cut into
+    pieces of SPAN ranks, which makes the range join an equi-join.
     """
-    w = Window.partitionBy("grp").orderBy("call_seq")
-    spans = calls.withColumn("hi", F.sum("cnt").over(w)).withColumn("lo", F.col("hi") - F.col("cnt"))
-    wanted = spans.filter("cnt > 0").withColumn("rn", F.explode(F.sequence((F.col("lo") + 1).cast("bigint"), F.col("hi").cast("bigint"))))
-    most = wanted.agg(F.coalesce(F.max("rn"), F.lit(0))).first()[0]
-    few = top(stream.select("key", "ms", "seq"), ["key"], [F.col("ms"), F.col("seq")], most) if most <= 100_000 else ranks(stream.select("key", "ms", "seq"), ["key"], [F.col("ms"), F.col("seq")], "rn")
-    return few.join(wanted, "rn").select("key", "ms", "seq", "grp", "consumer", "call_seq", F.col("ts_ms").alias("delivery_ms"), F.lit(1).cast("bigint").alias("delivery_count"))
+    ranked = stored(ranks(stream.select("key", "ms", "seq"), ["key"], [F.col("ms"), F.col("seq")], "rn"), "ranked-entries")
+    size = ranked.groupBy("key").agg(F.max("rn").alias("n"))
+    if groups is None:
+        at = size.crossJoin(calls.select("grp").distinct()).withColumn("after", F.lit(0).cast("bigint"))  # a row a stream and group
+    else:
+        passed = ranked.join(groups.select("key", "grp", "last_ms", "last_seq"), "key").filter("ms < last_ms or ms = last_ms and seq <= last_seq").groupBy("key", "grp").agg(F.max("rn").alias("after"))
+        at = groups.select("key", "grp").join(size, "key").join(passed, ["key", "grp"], "left").withColumn("after", F.coalesce("after", F.lit(0)))
+    all_left = F.coalesce(F.col("cnt") <= 0, F.lit(True))
+    far = F.lit(1 << 60)
+    spans = running(calls.withColumn("take", F.when(all_left, F.lit(0)).otherwise(F.col("cnt")).cast("bigint")), ["grp"], ["call_seq"], {"hi": ("sum", F.col("take")), "over": ("max", F.when(all_left, F.lit(1)))})
+    spans = spans.filter("over is null").select("grp", "consumer", "call_seq", "ts_ms", (F.col("hi") - F.col("take")).alias("lo"), F.when(all_left, far).otherwise(F.col("hi")).alias("hi"))
+    mine = spans.join(at, "grp").select("key", "grp", "consumer", "call_seq", "ts_ms", (F.col("lo") + F.col("after")).alias("lo"), F.least(F.col("hi") + F.col("after"), "n").alias("hi")).filter("lo < hi")
+    pieces = mine.withColumn("piece", F.explode(F.sequence(F.floor(F.col("lo") / SPAN), F.floor((F.col("hi") - 1) / SPAN))))
+    met = ranked.withColumn("piece", F.floor((F.col("rn") - 1) / SPAN)).join(pieces, ["key", "piece"]).filter("rn > lo and rn <= hi")
+    return met.select("key", "ms", "seq", "grp", "consumer", "call_seq", F.col("ts_ms").alias("delivery_ms"), F.lit(1).cast("bigint").alias("delivery_count"))
+
+
+def moved_cursors(groups: DataFrame, delivered: DataFrame) -> DataFrame:
+    """The groups with their cursors at the last entry delivered to each."""
+    last = delivered.groupBy("key", "grp").agg(F.max(F.struct("ms", "seq")).alias("b"))
+    there = F.struct(F.col("last_ms").alias("ms"), F.col("last_seq").alias("seq"))
+    to = F.greatest(F.col("b"), there)
+    return groups.join(last, ["key", "grp"], "left").select("key", "grp", to["ms"].alias("last_ms"), to["seq"].alias("last_seq"))
+
+
+def pending_after(delivered: DataFrame, calls: DataFrame) -> DataFrame:
+    """What a schedule leaves pending: what it delivered but for its NOACK calls (calls: call_seq, noack)."""
+    return delivered.join(calls.filter("noack").select("call_seq"), "call_seq", "left_anti").select(*delivered.columns)
 
 
 def replay(pel: DataFrame, stream: DataFrame, grp: str, consumer: str, start: tuple[int, int], now_ms: int, count: int = 0) -> DataFrame:
@@ -96,17 +127,27 @@ def pending_summary(pel: DataFrame) -> DataFrame:
     return one.select("key", "grp", "pending", F.col("a.ms").alias("min_ms"), F.col("a.seq").alias("min_seq"), F.col("b.ms").alias("max_ms"), F.col("b.seq").alias("max_seq"), "consumers")
 
 
-def pending_detail(pel: DataFrame, now_ms: int, idle_ms: int = 0, count: int = 0, consumer: str | None = None) -> DataFrame:
-    """Pending entries at least idle_ms idle, the first `count` of each key and group by id."""
-    out = pel.withColumn("idle_ms", F.lit(now_ms) - F.col("delivery_ms")).filter(F.col("idle_ms") >= idle_ms)
+def pending_detail(pel: DataFrame, now_ms: int, idle_ms: int = 0, count: int = 0, consumer: str | None = None, lo: tuple[int, int] | None = None, hi: tuple[int, int] | None = None) -> DataFrame:
+    """Pending entries at least idle_ms idle with lo <= id <= hi, the first `count` of each key and group by id."""
+    out = pel.filter(_between(lo, hi)).withColumn("idle_ms", F.lit(now_ms) - F.col("delivery_ms")).filter(F.col("idle_ms") >= idle_ms)
     if consumer is not None:
         out = out.filter(F.col("consumer") == consumer)
     out = top(out, ["key", "grp"], [F.col("ms"), F.col("seq")], count).drop("rn") if count > 0 else out
     return out.select("key", "grp", "ms", "seq", "consumer", "idle_ms", "delivery_count")
 
 
-def consumers(pel: DataFrame, now_ms: int) -> DataFrame:
-    """XINFO CONSUMERS: pending entries and idle time."""
+def pending_by_consumer(pel: DataFrame) -> DataFrame:
+    """XPENDING's list of a group's consumers with their pending entries."""
+    return pel.groupBy("key", "grp", "consumer").agg(F.count(F.lit(1)).alias("pending"))
+
+
+def consumers(pel: DataFrame, now_ms: int, seen: DataFrame | None = None) -> DataFrame:
+    """XINFO CONSUMERS: pending entries and idle time. With seen (key, grp, consumer, seen_ms), the
+    consumers that have called at all, those without pending entries too, idle since they called."""
+    if seen is not None:
+        last = seen.groupBy("key", "grp", "consumer").agg(F.max("seen_ms").alias("at"))
+        out = last.join(pending_by_consumer(pel), ["key", "grp", "consumer"], "left")
+        return out.select("key", "grp", "consumer", F.coalesce("pending", F.lit(0)).alias("pending"), (F.lit(now_ms) - F.col("at")).alias("idle_ms"))
     return pel.groupBy("key", "grp", "consumer").agg(F.count(F.lit(1)).alias("pending"), (F.lit(now_ms) - F.max("delivery_ms")).alias("idle_ms"))
 
 
@@ -130,10 +171,11 @@ def command_stats(commands: DataFrame) -> DataFrame:
 
 def p99(commands: DataFrame, by: str = "cmd", share: float = 0.99) -> DataFrame:
     """The value of floor rank (n - 1) * share of each group, exact for groups of any size:
-    equal values are counted before anything is sorted, and ranks are range-partitioned."""
+    equal values are counted before anything is sorted, and running counts are taken over
+    range partitions, so a group's values spread over many tasks."""
     counted = commands.filter("dur is not null").groupBy(by, "dur").agg(F.count(F.lit(1)).alias("n"))
-    size = counted.groupBy(by).agg(F.sum("n").alias("total"))
-    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(by).orderBy("dur")))
+    upto = stored(running(counted, [by], ["dur"], {"upto": ("sum", F.col("n"))}), "running-counts")
+    size = upto.groupBy(by).agg(F.max("upto").alias("total"))
     at = F.floor((F.col("total") - 1) * share) + 1
     return upto.join(size, by).filter(F.col("upto") >= at).groupBy(by).agg(F.min("dur").alias("p99"))
 

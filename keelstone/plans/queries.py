@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelstone.functions import expr
-from keelstone.operators import cluster, groups, keyspace, streams, vectors
+from keelstone.operators import cluster, folds, groups, keyspace, streams, vectors
 from keelstone.operators import collections as coll
 from keelstone.plans import state
 
@@ -38,10 +38,11 @@ _SETS = """sets AS (SELECT DISTINCT 'nation:' || c_nationkey AS key, c_mktsegmen
 _ZSETS = """zsets AS (SELECT c_mktsegment AS key, c_name AS member, c_acctbal AS score FROM customer)"""
 _LISTS = """lists AS (SELECT l_orderkey AS key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS idx, l_partkey AS value FROM lineitem)"""
 _STREAM = """stream AS (SELECT event_type AS key, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY event_type, epoch_us(ts) // 1000 ORDER BY event_id) - 1 AS seq, event_id, user_id FROM events)"""
-_CALLS = """calls AS (SELECT id AS call_seq, 'g' || (id % 2) AS grp, 'c' || (id % 3) AS consumer, id % 7 + 1 AS cnt, id * 1000 + 1704067200000 AS ts_ms FROM range(40) t(id)),
+_CALLS = f"""calls AS (SELECT id AS call_seq, 'g' || (id % 2) AS grp, 'c' || (id % 3) AS consumer, id % 7 + 1 AS cnt, id * 1000 + 1704067200000 AS ts_ms FROM (SELECT DISTINCT user_id AS id FROM events)),
+  grps AS (SELECT DISTINCT key, 'g0' AS grp, CAST(0 AS BIGINT) AS last_ms, CAST(0 AS BIGINT) AS last_seq FROM stream UNION ALL SELECT DISTINCT key, 'g1', {state.GROUP_START}, 0 FROM stream),
   spans AS (SELECT *, CAST(sum(cnt) OVER (PARTITION BY grp ORDER BY call_seq) AS BIGINT) AS hi FROM calls),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS rn FROM stream),
-  pel AS (SELECT key, ms, seq, grp, consumer, call_seq, ts_ms AS delivery_ms, CAST(1 AS BIGINT) AS delivery_count FROM ranked JOIN spans ON rn > hi - cnt AND rn <= hi)"""
+  ranked AS (SELECT s.*, grp, row_number() OVER (PARTITION BY s.key, grp ORDER BY ms, seq) AS rn FROM stream s JOIN grps USING (key) WHERE ms > last_ms OR ms = last_ms AND seq > last_seq),
+  pel AS (SELECT key, ms, seq, ranked.grp, consumer, call_seq, ts_ms AS delivery_ms, CAST(1 AS BIGINT) AS delivery_count FROM ranked JOIN spans ON ranked.grp = spans.grp AND rn > hi - cnt AND rn <= hi)"""
 
 
 def _mod(c: str, n: int, r: int = 0):
@@ -71,9 +72,9 @@ def type_of(spark, d):
     return keyspace.type_of(k.select("key").union(absent).distinct(), k)
 
 
-@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
+@query("SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes FROM documents")
 def strlen(spark, d):
-    return state.table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"))
+    return keyspace.strlen(state.table(spark, d, "documents").select("doc_id", F.col("text").alias("value")))
 
 
 @query(f"WITH {_KEYS} SELECT * FROM keys WHERE regexp_matches(key, '^customer:1[^/]$') OR starts_with(key, 'nation/')")
@@ -90,7 +91,7 @@ def key_metas(spark, d):
 
 @query(f"WITH {_KEYS} SELECT type, count(*) AS n FROM keys GROUP BY type")
 def dbsize(spark, d):
-    return state.keys(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return keyspace.sizes_by_type(state.keys(spark, d))
 
 
 @query(f"WITH {_OPS} SELECT key, arg_max(value, seq) AS value FROM ops GROUP BY key")
@@ -98,24 +99,96 @@ def set_lww(spark, d):
     return keyspace.fold_set(state.ops(spark, d).withColumn("cmd", F.lit("SET")))
 
 
-@query(f"WITH {_OPS} SELECT key, arg_min(value, seq) AS value FROM ops WHERE seq > (SELECT max(seq) FROM ops) // 2 AND kind <> 0 GROUP BY key")
+@query(f"""WITH {_OPS}, half AS (SELECT * FROM ops WHERE seq > (SELECT max(seq) FROM ops) // 2)
+SELECT key, coalesce(arg_max(value, seq) FILTER (WHERE seq % 29 = 0), arg_min(value, seq)) AS value FROM half GROUP BY key""")
 def setnx_fold(spark, d):
+    """Every event a SETNX but for some SETs; a flush half way."""
     o = state.ops(spark, d)
     half = o.agg(F.floor(F.max("seq") / 2).alias("seq")).select("seq", F.lit("FLUSHALL").alias("cmd"))
-    return keyspace.fold_setnx(o.filter("kind <> 0").withColumn("cmd", F.lit("SETNX")).unionByName(half, allowMissingColumns=True))
+    return keyspace.fold_setnx(o.withColumn("cmd", F.when(_mod("seq", 29), "SET").otherwise("SETNX")).unionByName(half, allowMissingColumns=True))
 
 
-@query(f"""WITH {_OPS}, base AS (SELECT key, max(seq) AS bs, arg_max(delta, seq) AS base FROM ops WHERE kind = 0 AND seq % 3 = 0 GROUP BY key)
-SELECT key, CAST(coalesce(any_value(base), 0) + coalesce(sum(delta) FILTER (WHERE kind <> 0 AND seq > coalesce(bs, -1)), 0) AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS error
-FROM ops LEFT JOIN base USING (key) WHERE kind <> 0 OR seq % 3 = 0 GROUP BY key""")
+_MIXED = "CASE WHEN seq % 23 = 0 THEN 'DEL' WHEN seq % 13 = 0 THEN 'SET' ELSE 'ADD' END"
+_BEGUN = f"""o AS (SELECT *, {_MIXED} AS cmd FROM ops), b AS (SELECT key, coalesce(max(seq) FILTER (WHERE cmd <> 'ADD'), -1) AS start FROM o GROUP BY key),
+  live AS (SELECT o.* FROM o JOIN b USING (key) WHERE seq >= start AND cmd <> 'DEL')"""
+
+
+def _mixed(o, add: str):
+    """Every event as a DEL, a SET or an addition."""
+    return o.withColumn("cmd", F.when(_mod("seq", 23), "DEL").when(_mod("seq", 13), "SET").otherwise(add))
+
+
+@query(f"WITH {_OPS}, {_BEGUN} SELECT key, CAST(sum(delta) AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS error FROM live GROUP BY key")
 def incr_fold(spark, d):
-    o = state.ops(spark, d).filter("kind <> 0 or seq % 3 = 0")
-    return keyspace.fold_counter(o.withColumn("cmd", F.when(F.col("kind") == 0, "SET").otherwise("INCRBY")).withColumn("value", F.col("delta").cast("string")))
+    return keyspace.fold_counter(_mixed(state.ops(spark, d), "INCRBY").withColumn("value", F.col("delta").cast("string")))
 
 
-@query(f"WITH {_OPS} SELECT key, string_agg(value, '' ORDER BY seq) AS value, CAST(strlen(string_agg(value, '' ORDER BY seq)) AS BIGINT) AS bytes FROM ops WHERE kind = 1 GROUP BY key")
+@query(f"WITH {_OPS}, {_BEGUN} SELECT key, string_agg(value, '' ORDER BY seq) AS value, CAST(strlen(string_agg(value, '' ORDER BY seq)) AS BIGINT) AS bytes FROM live GROUP BY key")
 def append_fold(spark, d):
-    return keyspace.fold_append(state.ops(spark, d).filter("kind = 1").withColumn("cmd", F.lit("APPEND")))
+    return keyspace.fold_append(_mixed(state.ops(spark, d), "APPEND"))
+
+
+def _log(spark, d):
+    """Every event as one of the string commands, the whole mix of them."""
+    o, k = state.ops(spark, d), F.col("seq") % 16
+    cmd = F.element_at(F.array(*[F.lit(c) for c in _COMMANDS]), (k + 1).cast("int"))
+    ttl = F.when(k == 1, (F.col("seq") % 5 - 1) * 86_400_000).when(k.isin(5, 6, 9, 10), (F.col("seq") % 9) * 43_200_000)
+    text = F.when(F.col("seq") % 3 == 0, F.col("value")).otherwise(F.col("delta").cast("string"))
+    return o.select("seq", "ts_ms", cmd.alias("cmd"), "key", text.alias("value"), F.when(k.isin(8, 12), F.col("delta") * 3).alias("delta"), ttl.alias("ttl_ms"), F.when(k == 2, "NX").when(k == 3, "XX").alias("cond"))
+
+
+_COMMANDS = ("SET", "SET", "SET", "SET", "SETNX", "SETEX", "PSETEX", "INCR", "INCRBY", "EXPIRE", "PEXPIRE", "DECR", "DECRBY", "APPEND", "PERSIST", "DEL")
+# one step a row over each key's operations, by a recursive table: here (is there a value), v and e (its expiry) after the row
+_FOLD = f"""WITH RECURSIVE {_OPS}, log AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY seq) AS i, count(*) OVER (PARTITION BY key) AS n, ts_ms AS t, seq % 16 AS k,
+    CASE WHEN seq % 3 = 0 THEN value ELSE CAST(delta AS VARCHAR) END AS x, delta * 3 AS d,
+    CASE WHEN seq % 16 = 1 THEN (seq % 5 - 1) * CAST(86400000 AS BIGINT) WHEN seq % 16 IN (5, 6, 9, 10) THEN (seq % 9) * CAST(43200000 AS BIGINT) END AS ttl FROM ops),
+walk(key, i, v, e) AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM log
+  UNION ALL
+  SELECT key, i,
+    CASE WHEN k = 15 THEN NULL
+      WHEN k IN (0, 1, 5, 6) AND coalesce(ttl, 1) > 0 OR k IN (2, 4) AND v IS NULL OR k = 3 AND v IS NOT NULL THEN x
+      WHEN k IN (7, 8, 11, 12) AND (v IS NULL OR regexp_full_match(v, '[+-]?[0-9]+') AND TRY_CAST(v AS BIGINT) IS NOT NULL) THEN CAST(coalesce(TRY_CAST(v AS BIGINT), 0) + CASE k WHEN 7 THEN 1 WHEN 8 THEN d WHEN 11 THEN -1 ELSE -d END AS VARCHAR)
+      WHEN k = 13 THEN coalesce(v, '') || x ELSE v END,
+    CASE WHEN k = 15 THEN 0
+      WHEN k IN (0, 1, 5, 6) AND coalesce(ttl, 1) > 0 OR k IN (2, 4) AND v IS NULL OR k = 3 AND v IS NOT NULL THEN CASE WHEN ttl IS NULL THEN 0 ELSE t + ttl END
+      WHEN k IN (9, 10) AND v IS NOT NULL THEN greatest(t + ttl, 1) WHEN k = 14 THEN 0 ELSE e END
+  FROM (SELECT l.*, CASE WHEN w.e > 0 AND w.e <= l.t THEN NULL ELSE w.v END AS v, CASE WHEN w.e > 0 AND w.e <= l.t THEN 0 ELSE w.e END AS e FROM walk w JOIN log l ON l.key = w.key AND l.i = w.i + 1))
+SELECT key, v AS value, e AS expires_at_ms FROM walk JOIN (SELECT key, max(i) AS i FROM log GROUP BY key) USING (key, i) WHERE v IS NOT NULL AND (e = 0 OR e > {{now}})"""
+
+
+@query(_FOLD.format(now=1_706_000_000_000))
+def string_fold(spark, d):
+    return folds.string_fold(_log(spark, d), 1_706_000_000_000)
+
+
+_ELEMENTS = "o AS (SELECT event_id AS seq, 'type:' || event_type AS key, user_id % 40 AS el, event_id % 7 AS k, value, event_id % 11 AS delta FROM events), live AS (SELECT * FROM o WHERE seq > coalesce((SELECT max(r.seq) FROM o r WHERE r.key = o.key AND r.seq % 331 = 0), -1))"
+
+
+def _element_log(spark, d, write: str, remove: str, name: str):
+    """Every event as a write, a removal or a DEL of its type's key."""
+    e, k = state.table(spark, d, "events"), F.col("event_id") % 7
+    cmd = F.when(F.col("event_id") % 331 == 0, "DEL").when(k < 2, remove).otherwise(write)
+    return e.select(F.col("event_id").alias("seq"), cmd.alias("cmd"), F.concat(F.lit("type:"), F.col("event_type")).alias("key"), (F.col("user_id") % 40).cast("string").alias(name), "value", (F.col("event_id") % 11).alias("delta"))
+
+
+@query(f"WITH {_ELEMENTS} SELECT key, CAST(el AS VARCHAR) AS member FROM live GROUP BY ALL HAVING arg_max(k, seq) >= 2")
+def set_fold(spark, d):
+    return folds.set_fold(_element_log(spark, d, "SADD", "SREM", "member"))
+
+
+@query(f"WITH {_ELEMENTS} SELECT key, CAST(el AS VARCHAR) AS member, arg_max(value, seq) AS score FROM live WHERE k < 2 OR value IS NOT NULL GROUP BY key, el HAVING arg_max(k, seq) >= 2")
+def zset_fold(spark, d):
+    return folds.zset_fold(_element_log(spark, d, "ZADD", "ZREM", "member").withColumnRenamed("value", "score"))
+
+
+@query(f"""WITH {_ELEMENTS}, b AS (SELECT key, el, max(seq) FILTER (WHERE k < 4) AS base FROM live GROUP BY ALL)
+SELECT key, CAST(el AS VARCHAR) AS field, CASE WHEN count(*) FILTER (WHERE k >= 4) > 0 THEN CAST(coalesce(sum(delta) FILTER (WHERE seq > coalesce(base, -1) OR k >= 2), 0) AS VARCHAR) ELSE CAST(any_value(delta) AS VARCHAR) END AS value, CAST(NULL AS VARCHAR) AS error
+FROM live JOIN b USING (key, el) WHERE seq >= coalesce(base, -1) GROUP BY key, el HAVING count(*) FILTER (WHERE k >= 2) > 0""")
+def hash_fold(spark, d):
+    log = _element_log(spark, d, "HSET", "HDEL", "field")
+    cmd = F.when((F.col("cmd") == "HSET") & (F.col("seq") % 7 >= 4), "HINCRBY").otherwise(F.col("cmd"))
+    return folds.hash_fold(log.withColumn("cmd", cmd).withColumn("value", F.col("delta").cast("string")))
 
 
 @query(f"""WITH {_OPS}, last AS (SELECT key, max(seq) FILTER (WHERE kind = 4) AS gone FROM ops GROUP BY key)
@@ -144,10 +217,10 @@ def live_filter(spark, d):
     return keyspace.live(state.expiring(spark, d), NOW)
 
 
-@query(f"WITH {_OPS} SELECT key, arg_max(CASE WHEN kind = 3 THEN 0 ELSE greatest(ts_ms + delta * 1000, 1) END, seq) AS expires_at_ms FROM ops WHERE kind IN (2, 3) GROUP BY key")
+@query(f"WITH {_OPS} SELECT key, arg_max(CASE WHEN kind = 2 THEN greatest(ts_ms + delta * 1000, 1) ELSE 0 END, seq) AS expires_at_ms FROM ops GROUP BY key")
 def persist_fold(spark, d):
-    o = state.ops(spark, d).filter("kind in (2, 3)")
-    return keyspace.fold_expiry(o.withColumn("cmd", F.when(F.col("kind") == 3, "PERSIST").otherwise("PEXPIRE")).withColumn("ttl_ms", F.col("delta") * 1000))
+    o = state.ops(spark, d)
+    return keyspace.fold_expiry(o.withColumn("cmd", F.when(F.col("kind") == 2, "PEXPIRE").when(F.col("kind") == 3, "PERSIST").otherwise("SET")).withColumn("ttl_ms", F.col("delta") * 1000))
 
 
 @query("SELECT user_id, last FROM (SELECT user_id, max(epoch_us(ts) // 1000) AS last FROM events GROUP BY user_id) ORDER BY last, 'user:' || user_id LIMIT 20")
@@ -249,7 +322,8 @@ def lpop_rpop(spark, d):
 
 @query(f"WITH {_SETS} SELECT key, member FROM sets")
 def smembers(spark, d):
-    return state.sets(spark, d)
+    c = state.table(spark, d, "customer")
+    return coll.members(c.select(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("key"), F.col("c_mktsegment").alias("member")))
 
 
 @query(f"WITH {_SETS}, req AS (SELECT 'nation:' || n_nationkey AS key, 'BUILDING' AS member FROM nation) SELECT req.key, req.member, CAST(CASE WHEN s.key IS NULL THEN 0 ELSE 1 END AS BIGINT) AS found FROM req LEFT JOIN sets s USING (key, member)")
@@ -287,10 +361,12 @@ def zrevrange(spark, d):
     return coll.zrange(state.zsets(spark, d), -5, -1, reverse=True)
 
 
-@query(f"WITH {_ZSETS} SELECT z.key, z.member, z.score FROM zsets z JOIN customer ON c_name = z.member AND c_mktsegment = z.key WHERE c_custkey % 10 = 0")
+@query(f"WITH {_ZSETS}, req AS (SELECT c_mktsegment AS key, c_name AS member FROM customer UNION ALL SELECT 'BUILDING', 'absent:' || c_custkey FROM customer) SELECT req.key, req.member, score FROM req LEFT JOIN zsets USING (key, member)")
 def zscore(spark, d):
-    req = state.table(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("member"))
-    return req.join(state.zsets(spark, d), ["key", "member"])
+    """Every customer is asked for, and as many members that are not there."""
+    c = state.table(spark, d, "customer")
+    req = c.select(F.col("c_mktsegment").alias("key"), F.col("c_name").alias("member")).union(c.select(F.lit("BUILDING"), F.concat(F.lit("absent:"), F.col("c_custkey").cast("string"))))
+    return coll.zscore(req, state.zsets(spark, d))
 
 
 @query(f"WITH {_ZSETS} SELECT key, count(*) AS n FROM zsets GROUP BY key")
@@ -360,7 +436,7 @@ def xinfo_stream(spark, d):
 
 @query(f"WITH {_STREAM}, {_CALLS} SELECT * FROM pel")
 def xreadgroup(spark, d):
-    return streams.deliver(state.stream(spark, d), state.calls(spark))
+    return state.pending(spark, d)
 
 
 @query(f"WITH {_STREAM}, {_CALLS} SELECT key, grp, count(*) AS pending, min((ms, seq))[1] AS min_ms, min((ms, seq))[2] AS min_seq, max((ms, seq))[1] AS max_ms, max((ms, seq))[2] AS max_seq, count(DISTINCT consumer) AS consumers FROM pel GROUP BY key, grp")
@@ -418,9 +494,19 @@ def stream_directory(spark, d):
     return groups.directory(state.stream(spark, d), _groups(spark, d))
 
 
-@query(f"WITH {_STREAM}, {_CALLS} SELECT key, grp, count(DISTINCT consumer) AS consumers, count(*) AS pending, CAST(0 AS BIGINT) AS last_ms, CAST(0 AS BIGINT) AS last_seq FROM pel WHERE grp = 'g0' GROUP BY key, grp")
+@query(f"""WITH {_STREAM}, {_CALLS}, n AS (SELECT key, grp, count(DISTINCT consumer) AS consumers, count(*) AS pending, max((ms, seq)) AS b FROM pel GROUP BY ALL)
+SELECT key, grp, coalesce(consumers, 0) AS consumers, coalesce(pending, 0) AS pending, CASE WHEN b IS NULL THEN last_ms ELSE b[1] END AS last_ms, CASE WHEN b IS NULL THEN last_seq ELSE b[2] END AS last_seq FROM grps LEFT JOIN n USING (key, grp)""")
 def xinfo_groups(spark, d):
-    return groups.info(_groups(spark, d), state.pending(spark, d))
+    """Every group with the cursor that the schedule has moved."""
+    p = state.pending(spark, d)
+    return groups.info(streams.moved_cursors(state.groups(spark, d), p), p)
+
+
+@query(f"WITH {_STREAM}, {_CALLS} SELECT key, grp, consumer, count(*) AS pending FROM pel WHERE call_seq % 5 <> 0 GROUP BY ALL")
+def xpending_consumers(spark, d):
+    """Pending entries by consumer where every fifth call reads without acknowledgement."""
+    p = state.pending(spark, d)
+    return streams.pending_by_consumer(streams.pending_after(p, state.calls(spark, d).select("call_seq", (F.col("call_seq") % 5 == 0).alias("noack"))))
 
 
 _SUBS = "subs AS (SELECT n_name AS subscriber, (['click', 'view', 'purchase'])[n_nationkey % 3 + 1] AS channel FROM nation)"
@@ -544,9 +630,9 @@ def routing_guard(spark, d):
     return cluster.route(state.keys(spark, d).select(F.col("key").alias("id"), F.array("key").alias("keys")), own, "a")
 
 
-@query("""SELECT event_id AS id, CASE WHEN user_id % 4 = 3 THEN 'disabled' WHEN event_type = 'purchase' AND user_id % 4 = 1 THEN 'readonly' WHEN user_id % 4 = 2 AND user_id % 10 <> 2 THEN 'key' END AS deny_reason FROM events""")
+@query("""SELECT event_id AS id, CASE WHEN user_id % 4 = 3 THEN 'disabled' WHEN event_type = 'purchase' AND user_id % 4 = 1 THEN 'readonly' WHEN user_id % 4 = 2 AND NOT (user_id BETWEEN 20 AND 29 OR user_id % 10 = 2 AND user_id BETWEEN 10 AND 99 OR user_id BETWEEN 100 AND 199) THEN 'key' END AS deny_reason FROM events""")
 def acl_filter(spark, d):
-    users = spark.createDataFrame([("0", True, False, False, ["*"]), ("1", True, False, True, ["~*"]), ("2", True, False, False, ["user:*2"]), ("3", False, True, False, ["*"])], "user string, enabled boolean, is_admin boolean, read_only boolean, patterns array<string>")
+    users = spark.createDataFrame([("0", True, False, False, ["*"]), ("1", True, False, True, ["~*"]), ("2", True, False, False, ["user:?2", "~user:2[0-9]", "user:1??", "user:*/x", "other/*"]), ("3", False, True, False, ["*"])], "user string, enabled boolean, is_admin boolean, read_only boolean, patterns array<string>")
     e = state.table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 4).cast("string").alias("user"), F.when(F.col("event_type") == "purchase", "SET").otherwise("GET").alias("cmd"), F.array(F.concat(F.lit("user:"), F.col("user_id").cast("string"))).alias("keys"))
     return keyspace.deny_reason(e, users).select("id", "deny_reason")
 
@@ -557,12 +643,13 @@ def readonly_guard(spark, d):
     return e.select("id", F.when(keyspace.is_write(F.col("cmd")), "READONLY").alias("error"))
 
 
-@query("SELECT event_id AS id, unnest(CASE event_id % 3 WHEN 0 THEN ['a' || event_id, 'b' || event_id] WHEN 1 THEN ['a' || event_id] ELSE ['k' || event_id] END) AS key FROM events")
+@query("SELECT event_id AS id, unnest(CASE event_id % 5 WHEN 0 THEN ['a' || event_id, 'b' || event_id] WHEN 1 THEN ['a' || event_id] WHEN 2 THEN ['k' || event_id] WHEN 3 THEN ['s' || event_id, 't'] ELSE ['s' || event_id] END) AS key FROM events")
 def command_keys(spark, d):
     i = F.col("event_id").cast("string")
-    m = F.col("event_id") % 3
-    cmd = F.when(m == 0, "MGET").when(m == 1, "MSET").otherwise("EVAL")
-    args = F.when(m == 2, F.array(F.lit("script"), F.lit("1"), F.concat(F.lit("k"), i), F.lit("arg"))).otherwise(F.array(F.concat(F.lit("a"), i), F.concat(F.lit("b"), i)))
+    of = lambda *xs: F.array(*[F.concat(F.lit(x[:-1]), i) if x.endswith("#") else F.lit(x) for x in xs])
+    forms = (("MGET", of("a#", "b#")), ("MSET", of("a#", "b#")), ("EVAL", of("script", "1", "k#", "arg")), ("XREAD", of("COUNT", "2", "streams", "s#", "t", "0", "0-1")), ("XREADGROUP", of("GROUP", "STREAMS", "c", "NOACK", "STREAMS", "s#", ">")))
+    k = (F.col("event_id") % 5 + 1).cast("int")
+    cmd, args = F.element_at(F.array(*[F.lit(c) for c, _ in forms]), k), F.element_at(F.array(*[a for _, a in forms]), k)
     return state.table(spark, d, "events").select(F.col("event_id").alias("id"), F.explode(keyspace.command_keys(cmd, args)).alias("key"))
 
 
@@ -586,22 +673,52 @@ def slowlog(spark, d):
     return streams.slowlog(state.commands(spark, d), 50).select("id", "cmd", "dur")
 
 
-@query("""WITH e AS (SELECT event_id AS seq, user_id AS conn, event_id % 11 AS k FROM events),
-m AS (SELECT *, CASE k WHEN 0 THEN 'MULTI' WHEN 5 THEN 'EXEC' WHEN 8 THEN 'DISCARD' ELSE 'SET' END AS cmd FROM e),
-w AS (SELECT *, last_value(CASE WHEN cmd = 'MULTI' THEN seq END IGNORE NULLS) OVER (PARTITION BY conn ORDER BY seq) AS begun,
-  last_value(CASE WHEN cmd IN ('EXEC', 'DISCARD') THEN seq END IGNORE NULLS) OVER (PARTITION BY conn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS closed,
-  first_value(CASE WHEN cmd IN ('EXEC', 'DISCARD') THEN seq END IGNORE NULLS) OVER (PARTITION BY conn ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fence FROM m),
-t AS (SELECT w.*, f.cmd AS fence_cmd, CASE WHEN begun IS NOT NULL AND coalesce(closed, -1) < begun AND w.cmd = 'SET' THEN begun END AS tx FROM w LEFT JOIN m f ON f.seq = w.fence)
-SELECT seq, conn, tx, CASE WHEN tx IS NULL THEN seq WHEN fence_cmd = 'EXEC' THEN fence END AS exec_seq FROM t WHERE cmd = 'SET'""")
-def multi_exec(spark, d):
+_TX = """e AS (SELECT event_id AS seq, user_id AS conn, event_type AS key, event_id % 11 AS k FROM events),
+m AS (SELECT *, CASE k WHEN 0 THEN 'MULTI' WHEN 3 THEN 'WATCH' WHEN 5 THEN 'EXEC' WHEN 8 THEN 'DISCARD' ELSE 'SET' END AS cmd FROM e),
+g AS (SELECT *, coalesce(max(CASE WHEN cmd IN ('EXEC', 'DISCARD') THEN seq END) OVER (PARTITION BY conn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS seg FROM m),
+f AS (SELECT conn, seg, min(seq) FILTER (WHERE cmd = 'MULTI') AS multi, max(seq) FILTER (WHERE cmd = 'EXEC') AS ex FROM g GROUP BY ALL)"""
+
+
+def _connections(spark, d):
+    """Every event as one connection's command on its type's key."""
     k = F.col("event_id") % 11
-    o = state.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("conn"), F.when(k == 0, "MULTI").when(k == 5, "EXEC").when(k == 8, "DISCARD").otherwise("SET").alias("cmd"))
-    return keyspace.transactions(o).filter("cmd = 'SET'").select("seq", "conn", "tx", "exec_seq")
+    return state.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("conn"), F.col("event_type").alias("key"), F.when(k == 0, "MULTI").when(k == 3, "WATCH").when(k == 5, "EXEC").when(k == 8, "DISCARD").otherwise("SET").alias("cmd"))
 
 
-@query("""WITH w AS (SELECT event_id AS tx, user_id AS key, event_id AS ws, event_id + 50 AS es FROM events WHERE event_id % 20 = 0)
+@query(f"""WITH {_TX} SELECT seq, conn, CASE WHEN multi < seq THEN multi END AS tx, CASE WHEN multi IS NULL OR multi >= seq THEN seq ELSE ex END AS exec_seq FROM g JOIN f USING (conn, seg) WHERE cmd = 'SET'""")
+def multi_exec(spark, d):
+    return keyspace.transactions(_connections(spark, d).drop("key")).filter("cmd = 'SET'").select("seq", "conn", "tx", "exec_seq")
+
+
+@query(f"""WITH {_TX}, w AS (SELECT multi AS tx, g.key, g.seq AS ws, ex FROM g JOIN f USING (conn, seg) WHERE g.cmd = 'WATCH' AND multi IS NOT NULL AND ex IS NOT NULL),
+gone AS (SELECT DISTINCT w.tx FROM w JOIN m ON m.key = w.key AND m.cmd = 'SET' AND m.seq % 13 = 0 AND m.seq > ws AND m.seq < w.ex)
+SELECT seq, multi AS tx, CASE WHEN multi IN (SELECT tx FROM gone) THEN NULL ELSE ex END AS exec_seq FROM g JOIN f USING (conn, seg) WHERE cmd = 'SET' AND multi < seq""")
+def multi_watch(spark, d):
+    """Transactions and whether watched keys, that some of the SETs write, stop them."""
+    o = _connections(spark, d)
+    writes = o.filter("cmd = 'SET' and seq % 13 = 0").select("key", "seq")
+    return keyspace.transactions(o, writes).filter("cmd = 'SET' and tx is not null").select("seq", "tx", "exec_seq")
+
+
+@query("""WITH w AS (SELECT event_id AS tx, user_id AS key, event_id AS ws, event_id + 50 AS es FROM events)
 SELECT DISTINCT tx FROM w JOIN events e ON e.user_id = w.key AND e.event_id > ws AND e.event_id < es WHERE e.event_type = 'purchase'""")
 def watch_aborts(spark, d):
+    """Every event watches its user's key and executes 50 events later; purchases write."""
     e = state.table(spark, d, "events")
-    watches = e.filter("event_id % 20 = 0").select(F.col("event_id").alias("tx"), F.col("user_id").alias("key"), F.col("event_id").alias("watch_seq"), (F.col("event_id") + 50).alias("exec_seq"))
+    watches = e.select(F.col("event_id").alias("tx"), F.col("user_id").alias("key"), F.col("event_id").alias("watch_seq"), (F.col("event_id") + 50).alias("exec_seq"))
     return keyspace.aborted(watches, e.filter("event_type = 'purchase'").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq")))
+
+
+@query(f"WITH {_HASHES} SELECT key, field FROM hashes")
+def hkeys(spark, d):
+    return coll.hkeys(state.hashes(spark, d))
+
+
+@query(f"WITH {_HASHES} SELECT key, value FROM hashes")
+def hvals(spark, d):
+    return coll.hvals(state.hashes(spark, d))
+
+
+@query(f"WITH {_SLOTS} SELECT key FROM slots WHERE slot = 12182 ORDER BY key LIMIT 20")
+def keys_in_slot(spark, d):
+    return cluster.keys_in_slot(state.keys(spark, d), 12182, 20)

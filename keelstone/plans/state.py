@@ -59,16 +59,28 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auto_ids(e, "event_id")
 
 
-def calls(spark: SparkSession) -> DataFrame:
-    """A fixed schedule of 40 group reads."""
-    return spark.range(40).select(F.col("id").alias("call_seq"), F.concat(F.lit("g"), (F.col("id") % 2).cast("string")).alias("grp"), F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("consumer"), (F.col("id") % 7 + 1).alias("cnt"), (F.col("id") * 1000 + 1_704_067_200_000).alias("ts_ms"))
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schedule of group reads: a call of each user in the events, so it grows with them."""
+    i = F.col("id")
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
+    return users.select(i.alias("call_seq"), F.concat(F.lit("g"), (i % 2).cast("string")).alias("grp"), F.concat(F.lit("c"), (i % 3).cast("string")).alias("consumer"), (i % 7 + 1).alias("cnt"), (i * 1000 + 1_704_067_200_000).alias("ts_ms"))
+
+
+#: Where the second group of each stream begins.
+GROUP_START = 1_704_500_000_000
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two groups a stream: one from its begin, one from an id on."""
+    both = F.array(F.struct(F.lit("g0").alias("grp"), F.lit(0).cast("bigint").alias("last_ms")), F.struct(F.lit("g1").alias("grp"), F.lit(GROUP_START).cast("bigint").alias("last_ms")))
+    return stream(spark, sf_dir).select("key").distinct().select("key", F.explode(both).alias("g")).select("key", "g.grp", "g.last_ms", F.lit(0).cast("bigint").alias("last_seq"))
 
 
 def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the schedule delivered and nobody acknowledged: ids of even ms stay."""
+    """What the schedule delivered and nobody has acknowledged."""
     from keelstone.operators.streams import deliver
 
-    return deliver(stream(spark, sf_dir), calls(spark))
+    return deliver(stream(spark, sf_dir), calls(spark, sf_dir), groups(spark, sf_dir))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
