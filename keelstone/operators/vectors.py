@@ -3,13 +3,18 @@
 A vector table has key, id and vec (array<float>); math is in double precision.
 Exact search multiplies each Arrow batch with the queries and hands on only the
 best k of each task. Ties go to the lesser id.
+
+A query meets the vectors of its own dimension; one whose dimension no vector has finds nothing, as
+do null vectors and those with null elements, which no search returns either.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelstone.functions import expr
@@ -94,20 +99,26 @@ def _rows(qid, ids, score) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], names=["qid", "id", "score"])
 
 
+def _whole(df: DataFrame) -> DataFrame:
+    """The rows whose vectors are there, and without null elements."""
+    return df.filter(F.coalesce((F.size("vec") > 0) & ~F.exists("vec", lambda x: x.isNull()), F.lit(False)))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(qid, id, score, rank): exact top-k of each query over all vectors (id, vec).
+    """(qid, id, score, rank): exact top-k of each query over all vectors (id, vec) of its dimension.
     queries: qid, vec. Queries go out in blocks of QUERY_BYTES at most."""
     spark = prepare(vectors.sparkSession)
     metric = metric.lower()
     nearer = 1 if metric in ("l2", "euclidean") else -1
-    n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    if not n:
-        return vectors.limit(0).selectExpr("id as qid", "id", "0d as score", "0 as rank")
-    blocks = -(-n * dim * 8 // QUERY_BYTES)
-    out = None
-    for b in range(blocks):
+    queries = _whole(queries)
+    blocks = []
+    for dim, n in sorted(tuple(r) for r in queries.groupBy(F.size("vec")).count().collect()):  # a row a dimension
+        parts = -(-n * dim * 8 // QUERY_BYTES)
+        blocks += [(dim, parts, b) for b in range(parts)]
+    out = vectors.limit(0).selectExpr("cast(id as bigint) as qid", "cast(id as bigint) as id", "0d as score")
+    for at, (dim, parts, b) in enumerate(blocks):
         part = queries.filter(F.size("vec") == dim)
-        part = part if blocks == 1 else part.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        part = part if parts == 1 else part.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == b)
         rows = part.select("qid", "vec").collect()  # one block
         shipped = spark.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.vec for r in rows], np.float64).reshape(-1, dim)))
 
@@ -126,48 +137,92 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
                 yield _rows(np.repeat(qids, [len(h[0]) for h in held]), np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
 
         got = vectors.select(F.col("id").cast("bigint").alias("id"), "vec").mapInArrow(run, _FOUND)
-        out = got if out is None else out.union(got)
+        out = got if at == 0 else out.union(got)
     return top(out, ["qid"], [(F.col("score") * nearer).asc(), F.col("id").asc()], k, "rank")
 
 
-def fit_cells(vectors: DataFrame, cells: int | None = None, fit_rows: int = FIT_ROWS, rounds: int = 8, seed: int = 42) -> np.ndarray:
-    """Centres of an inverted-file index, by k-means on the `fit_rows` rows of least hashed ids."""
-    sample = np.array([r.vec for r in vectors.orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()], np.float64)
-    sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-12)
-    cells = min(cells or max(1, int(len(sample) ** 0.5 / 2)), len(sample), MAX_CELLS)
-    centres = sample[np.random.default_rng(seed).choice(len(sample), cells, replace=False)]
+@dataclass
+class Cells:
+    """An inverted-file index's cells: centres in the metric's own space, so that the rows that a query
+    is near to lie in the cells that it is near to. Cosine: directions. l2: the vectors
+    themselves. dot: one more element lifts every vector to the length of the longest, and
+    the inner product orders them as their angles to the query do."""
+
+    centres: np.ndarray
+    metric: str = "cosine"
+    longest: float = 0.0
+
+    def lifted(self, m: np.ndarray, asked: bool = False) -> np.ndarray:
+        """Rows, or queries, in the space of the centres."""
+        if self.metric == "l2":
+            return m
+        if self.metric == "dot":
+            rest = np.zeros(len(m)) if asked else np.sqrt(np.maximum(self.longest**2 - np.einsum("ij,ij->i", m, m), 0))
+            m = np.concatenate([m, rest[:, None]], 1)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def nearest(self, m: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest cells of lifted rows, nearest first."""
+        away = np.einsum("ij,ij->i", self.centres, self.centres) / 2 if self.metric == "l2" else 0
+        return np.argsort(-(m @ self.centres.T - away), axis=1, kind="stable")[:, :n]
+
+    @property
+    def dim(self) -> int:
+        return self.centres.shape[1] - (self.metric == "dot")
+
+
+def fit_cells(vectors: DataFrame, cells: int | None = None, fit_rows: int = FIT_ROWS, rounds: int = 8, seed: int = 42, metric: str = "cosine") -> Cells:
+    """An index's cells, by k-means on the `fit_rows` rows of least hashed ids. An index is of one
+    dimension, the one that most vectors have; without vectors it has no cells."""
+    metric = {"euclidean": "l2", "innerproduct": "dot"}.get(metric.lower(), metric.lower())
+    metric = metric if metric in ("l2", "dot") else "cosine"
+    whole = _whole(vectors)
+    sizes = whole.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
+    if not sizes:
+        return Cells(np.zeros((0, 1)), metric)
+    whole = whole.filter(F.size("vec") == sizes[0].dim)
+    longest = whole.agg(F.max(expr.dot(F.col("vec"), F.col("vec")))).first()[0] ** 0.5 if metric == "dot" else 0.0
+    rows = whole.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()
+    index = Cells(np.zeros((0, 1)), metric, longest)
+    sample = index.lifted(np.array([r.vec for r in rows], np.float64))
+    n = min(cells or max(1, int(len(sample) ** 0.5 / 2)), len(sample), MAX_CELLS)
+    index.centres = sample[np.random.default_rng(seed).choice(len(sample), n, replace=False)]
     for _ in range(rounds):
-        near = np.argmax(sample @ centres.T, axis=1)
-        for c in range(cells):
+        near = index.nearest(sample, 1)[:, 0]
+        for c in range(n):
             mine = sample[near == c]
             if len(mine):
-                centres[c] = mine.mean(0)
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    return centres
+                index.centres[c] = mine.mean(0)
+        if metric != "l2":
+            index.centres /= np.maximum(np.linalg.norm(index.centres, axis=1, keepdims=True), 1e-12)
+    return index
 
 
-def assign(vectors: DataFrame, centres: np.ndarray, probes: int = 1, id_col: str = "id") -> DataFrame:
-    """(id, vec, cell): each row in its nearest `probes` cells."""
-    shipped = prepare(vectors.sparkSession).sparkContext.broadcast(centres)
+def assign(vectors: DataFrame, index: Cells, probes: int = 1, id_col: str = "id", asked: bool = False) -> DataFrame:
+    """(id, vec, cell): each row of the index's dimension in its nearest `probes` cells."""
+    shipped = prepare(vectors.sparkSession).sparkContext.broadcast(index)
 
     def run(batches):
-        c = shipped.value
+        index = shipped.value
         for b in batches:
-            m = np.nan_to_num(_matrix(b.column(1), c.shape[1]))
-            near = np.argsort(-(m @ c.T), axis=1, kind="stable")[:, :probes]
-            rep = np.repeat(np.arange(b.num_rows), near.shape[1])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rep)), b.column(1).take(pa.array(rep)), pa.array(near.ravel().astype(np.int32))], names=[id_col, "vec", "cell"])
+            near = index.nearest(index.lifted(_matrix(b.column(1), index.dim), asked), probes)
+            rep = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rep), b.column(1).take(rep), pa.array(near.ravel().astype(np.int32))], names=[id_col, "vec", "cell"])
 
-    return vectors.select(F.col(id_col).cast("bigint").alias(id_col), "vec").mapInArrow(run, f"{id_col} bigint, vec array<float>, cell int")
+    fit = _whole(vectors).filter(F.size("vec") == index.dim)
+    return fit.select(F.col(id_col).cast("bigint").alias(id_col), "vec").mapInArrow(run, f"{id_col} bigint, vec array<float>, cell int")
 
 
-def search_cells(vectors: DataFrame, queries: DataFrame, k: int, centres: np.ndarray, probes: int = 8) -> DataFrame:
-    """(qid, id, score, rank): approximate cosine top-k over the `probes` nearest cells of
-    each query. Every row is indexed; cells beyond CELL_ROWS are split by id over tasks."""
-    placed = assign(vectors, centres)
+def search_cells(vectors: DataFrame, queries: DataFrame, k: int, index: Cells, probes: int = 8) -> DataFrame:
+    """(qid, id, score, rank): approximate top-k by the index's metric over the `probes` nearest cells
+    (the effort) of each query of the index's dimension. Every row of that dimension is
+    indexed; cells beyond CELL_ROWS are split by id over tasks."""
+    placed = assign(vectors, index)
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("splits"))
     left = placed.join(F.broadcast(sizes), "cell").withColumn("split", F.pmod(F.xxhash64("id"), F.col("splits")).cast("int")).drop("splits")  # MAX_CELLS rows at most
-    right = assign(queries, centres, probes, "qid").join(F.broadcast(sizes.select(F.col("cell"), F.col("splits").alias("parts"))), "cell").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = assign(queries, index, probes, "qid", True).join(F.broadcast(sizes.select(F.col("cell"), F.col("splits").alias("parts"))), "cell").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    metric = index.metric
+    nearer = 1 if metric == "l2" else -1
 
     def match(key, mine, asked):
         if not mine.num_rows or not asked.num_rows:
@@ -175,21 +230,15 @@ def search_cells(vectors: DataFrame, queries: DataFrame, k: int, centres: np.nda
         v = np.array(mine.column("vec").to_pylist(), np.float64)
         q = np.array(asked.column("vec").to_pylist(), np.float64)
         ids, qids = mine.column("id").to_numpy(), asked.column("qid").to_numpy()
-        s = scores(q, v, "cosine")
-        at = [_best(-x, ids, k) for x in s]
+        s = scores(q, v, metric)
+        at = [_best(nearer * x, ids, k) for x in s]
         return pa.Table.from_batches([_rows(np.repeat(qids, [len(a) for a in at]), np.concatenate([ids[a] for a in at]), np.concatenate([x[a] for x, a in zip(s, at)]))])
 
     got = left.groupBy("cell", "split").cogroup(right.groupBy("cell", "split")).applyInArrow(match, _FOUND)
-    return top(got, ["qid"], [F.desc("score"), F.asc("id")], k, "rank")
+    return top(got, ["qid"], [(F.col("score") * nearer).asc(), F.asc("id")], k, "rank")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: the share of the exact neighbours that were found."""
     hit = exact.join(found.select("qid", "id").withColumn("hit", F.lit(1)), ["qid", "id"], "left")
     return hit.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
-
-
-def pair_window(df: DataFrame) -> DataFrame:
-    """Consecutive ids of each key as pairs (key, id1, id2)."""
-    w = Window.partitionBy("key").orderBy("id")
-    return df.select("key", F.col("id").alias("id1"), F.lead("id").over(w).alias("id2")).filter("id2 is not null")

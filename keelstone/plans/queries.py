@@ -722,3 +722,15 @@ def hvals(spark, d):
 @query(f"WITH {_SLOTS} SELECT key FROM slots WHERE slot = 12182 ORDER BY key LIMIT 20")
 def keys_in_slot(spark, d):
     return cluster.keys_in_slot(state.keys(spark, d), 12182, 20)
+
+
+@query()
+def vsearch_approximate_l2(spark, d):
+    v = state.vectors(spark, d)
+    return vectors.search_cells(v, v.filter("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), 10, vectors.fit_cells(v, metric="l2"))
+
+
+@query()
+def vsearch_approximate_dot(spark, d):
+    v = state.vectors(spark, d)
+    return vectors.search_cells(v, v.filter("id % 50 = 0").select(F.col("id").alias("qid"), "vec"), 10, vectors.fit_cells(v, metric="dot"))

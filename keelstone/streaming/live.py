@@ -38,35 +38,47 @@ def per_second(commands: DataFrame, lateness: str = "10 seconds") -> DataFrame:
 
 
 DELIVERED = "key string, grp string, id bigint, consumer string, delivery_count int"
-_STATE = "waiting array<bigint>, pending_id array<bigint>, pending_consumer array<string>, last bigint"
+_STATE = "waiting array<bigint>, pending_id array<bigint>, pending_consumer array<string>, pending_count array<int>, last bigint"
 
 
 def consumer_groups(events: DataFrame) -> DataFrame:
     """Consumer groups over one stream of events (key, grp, kind, id, consumer, cnt, seq).
 
-    `add` enters an entry, `read` delivers the next cnt entries to a consumer, `ack`
-    takes an entry off the pending list, `replay` delivers a consumer's pending entries
-    from id on again. State holds what is undelivered or unacknowledged, in order of
-    id; ids that do not exceed all before are refused.
+    `add` enters an entry, `del` takes one out, `read` delivers the next cnt entries to a
+    consumer (all that wait, where cnt is null or not above zero), `ack` takes an entry off
+    the pending list, `replay` delivers a consumer's pending entries from id on again,
+    but for deleted ones, and counts each delivery. State holds what is undelivered or unacknowledged, in
+    order of id (deleted pending entries with a count below zero); ids that do not exceed
+    all before are refused. A group's waiting and pending entries are one state row.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, ids, owners, last = state.get if state.exists else ([], [], [], -1)
-        waiting, pending, out = list(waiting), dict(zip(ids, owners)), []
-        for e in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if e.kind == "add" and e.id > last:
-                last = int(e.id)
+        waiting, ids, owners, counts, last = state.get if state.exists else ([], [], [], [], -1)
+        waiting, pending, out = list(waiting), {i: [c, n] for i, c, n in zip(ids, owners, counts)}, []
+        for e in pd.concat(list(frames)).sort_values("seq", kind="stable").itertuples():
+            number = None if pd.isna(e.id) else int(e.id)
+            if e.kind == "add" and number is not None and number > last:
+                last = number
                 waiting.append(last)
+            elif e.kind == "del":
+                waiting = [i for i in waiting if i != number]
+                if number in pending and pending[number][1] > 0:
+                    pending[number][1] *= -1
             elif e.kind == "read":
-                given, waiting = waiting[: int(e.cnt)], waiting[int(e.cnt) :]
+                n = len(waiting) if pd.isna(e.cnt) or int(e.cnt) <= 0 else int(e.cnt)
+                given, waiting = waiting[:n], waiting[n:]
                 for i in given:
-                    pending[i] = e.consumer
+                    pending[i] = [e.consumer, 1]
                     out.append((*key, i, e.consumer, 1))
             elif e.kind == "ack":
-                pending.pop(int(e.id), None)
+                pending.pop(number, None)
             elif e.kind == "replay":
-                out += [(*key, i, c, 2) for i, c in sorted(pending.items()) if c == e.consumer and i >= e.id]
-        state.update((waiting, list(pending), list(pending.values()), last))
+                for i, p in sorted(pending.items()):
+                    if p[0] == e.consumer and p[1] > 0 and i >= (number or 0):
+                        p[1] += 1
+                        out.append((*key, i, p[0], p[1]))
+        state.update((waiting, list(pending), [c for c, _ in pending.values()], [n for _, n in pending.values()], last))
         yield pd.DataFrame(out, columns=["key", "grp", "id", "consumer", "delivery_count"])
 
-    return events.groupBy("key", "grp").applyInPandasWithState(step, DELIVERED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    # ids as text on the way in: a frame column of numbers with nulls would be of doubles, which lose digits beyond 2^53
+    return events.withColumn("id", F.col("id").cast("string")).groupBy("key", "grp").applyInPandasWithState(step, DELIVERED, _STATE, "append", GroupStateTimeout.NoTimeout)
