@@ -52,7 +52,7 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
 
 #: Characters that are hashed at a time. A longer text is read in pieces cut at white
 #: space; the last word of a piece is carried over, so its features are those of one piece.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 _BLANK = re.compile(r"[ \t\n\r\x0b\x0c]")
 
 
