@@ -11,8 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelstone.functions.ranking import ranks
 from keelstone.session import prepare
 
+#: Elements that a command of a dump holds, at most or, where they are dealt by hash, about.
+ELEMENTS = 1024
+
 
 def encode(args: list[bytes]) -> bytes:
     return b"*%d\r\n" % len(args) + b"".join(b"$%d\r\n%s\r\n" % (len(a), a) for a in args)
@@ -104,14 +108,42 @@ def write(commands: DataFrame, path: str) -> None:
     lines.select(F.expr("left(line, length(line) - 2)")).write.option("lineSep", "\r\n").text(path)
 
 
-def dump(strings: DataFrame, hashes: DataFrame, lists: DataFrame, sets: DataFrame, zsets: DataFrame) -> DataFrame:
-    """State as commands (cmd, args): one SET, HSET, RPUSH, SADD or ZADD a key."""
-    s = strings.select(F.lit("SET").alias("cmd"), F.array("key", "value").alias("args"))
-    gather = lambda df, cmd, item: df.groupBy("key").agg(F.sort_array(F.collect_list(item)).alias("i")).select(F.lit(cmd).alias("cmd"), F.concat(F.array("key"), F.flatten(F.transform("i", lambda x: x["a"]))).alias("args"))
-    item = lambda order, *cols: F.struct(order.alias("o"), F.array(*cols).alias("a"))
-    return (
-        s.unionByName(gather(hashes, "HSET", item(F.col("field"), "field", "value")))
-        .unionByName(gather(lists, "RPUSH", item(F.col("idx"), "value")))
-        .unionByName(gather(sets, "SADD", item(F.col("member"), "member")))
-        .unionByName(gather(zsets, "ZADD", item(F.col("score"), F.col("score").cast("string"), F.col("member"))))
-    )
+def dump(strings: DataFrame | None = None, hashes: DataFrame | None = None, lists: DataFrame | None = None, sets: DataFrame | None = None, zsets: DataFrame | None = None, streams: DataFrame | None = None, vectors: DataFrame | None = None, expiring: DataFrame | None = None) -> DataFrame:
+    """State as commands (step, cmd, args) that make it again: SET a string; HSET, RPUSH, SADD and ZADD
+    in commands of at most ELEMENTS elements, so no key is gathered in one row; XADD an entry (streams: key, ms,
+    seq, pairs); VADD a vector (vectors: key, id, vec); and, step 1, PEXPIREAT a key that expires
+    (expiring: key, expires_at_ms). Commands of a step may run in any order but lists' and
+    streams', whose `at` counts up within the key."""
+    at0 = F.lit(0).cast("bigint")
+    one = lambda df, cmd, args, at=at0, step=0: df.select(F.lit(step).alias("step"), F.lit(cmd).alias("cmd"), at.cast("bigint").alias("at"), args.alias("args"))
+    text = lambda c: F.col(c).cast("string")
+
+    def some(df, cmd, order, *cols):
+        """Elements dealt by place, or by hash where there is none, into commands of bounded size."""
+        if order is None:
+            sized = df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / ELEMENTS).alias("parts"))
+            df = df.join(sized, "key").withColumn("part", F.pmod(F.xxhash64(*cols), F.col("parts")))
+            order = cols[0]
+        else:
+            df = df.withColumn("part", F.floor(F.col(order) / ELEMENTS))
+        items = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.array(*map(text, cols)).alias("a"))))
+        many = df.groupBy("key", "part").agg(items.alias("i"))
+        return one(many, cmd, F.concat(F.array("key"), F.flatten(F.transform("i", lambda x: x["a"]))), F.col("part"))
+
+    made = []
+    if strings is not None:
+        made.append(one(strings, "SET", F.array("key", "value")))
+    for table, cmd, order, cols in ((hashes, "HSET", None, ("field", "value")), (lists, "RPUSH", "idx", ("value",)), (sets, "SADD", None, ("member",)), (zsets, "ZADD", None, ("score", "member"))):
+        if table is not None:
+            made.append(some(table, cmd, order, *cols))
+    if streams is not None:
+        place = ranks(streams, ["key"], [F.col("ms"), F.col("seq")], "at")
+        made.append(one(place, "XADD", F.concat(F.array("key", F.concat_ws("-", text("ms"), text("seq"))), F.flatten(F.transform("pairs", lambda p: F.array(p["name"], p["value"])))), F.col("at")))
+    if vectors is not None:
+        made.append(one(vectors, "VADD", F.concat(F.array("key", text("id")), F.transform("vec", lambda x: x.cast("string")))))
+    if expiring is not None:
+        made.append(one(expiring.filter("expires_at_ms > 0"), "PEXPIREAT", F.array("key", text("expires_at_ms")), step=1))
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out

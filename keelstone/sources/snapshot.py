@@ -1,5 +1,4 @@
-"""Snapshots: state tables as Parquet with a manifest, and a checksummed binary form of
-string keys for exchange.
+"""Snapshots: state tables as Parquet with a manifest, and the checksum of the binary form.
 
 A snapshot is a folder of its own with one Parquet table a type and, written last, a
 `meta` table. A reader takes the latest folder that has one, so a save that broke off
@@ -8,8 +7,6 @@ is never read.
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,58 +64,5 @@ def crc64(data: bytes, crc: int = 0) -> int:
     return crc
 
 
-#: Fixed values of the binary form.
-MAGIC, STRING, EXPIRY_MS, END = b"REDIS0009", 0, 0xFC, 0xFF
-
-
-def _uvarint(n: int) -> bytes:
-    out = bytearray()
-    while n > 0x7F:
-        out.append(n & 0x7F | 0x80)
-        n >>= 7
-    return bytes([*out, n])
-
-
-def _take_uvarint(data: bytes, at: int) -> tuple[int, int]:
-    n = shift = 0
-    while True:
-        b = data[at]
-        n |= (b & 0x7F) << shift
-        at, shift = at + 1, shift + 7
-        if b < 0x80:
-            return n, at
-
-
-def pack_strings(rows: list[tuple[str, str, int]]) -> bytes:
-    """(key, value, expires_at_ms) as one checksummed block."""
-    out = bytearray(MAGIC)
-    for key, value, expires in rows:
-        if expires:
-            out += bytes([EXPIRY_MS]) + struct.pack("<Q", expires)
-        out.append(STRING)
-        for s in (key.encode(), value.encode()):
-            out += _uvarint(len(s)) + s
-    out.append(END)
-    return bytes(out) + struct.pack("<Q", crc64(bytes(out)))
-
-
-def unpack_strings(data: bytes) -> list[tuple[str, str, int]]:
-    if data[: len(MAGIC)] != MAGIC:
-        raise ValueError("bad magic")
-    want = struct.unpack("<Q", data[-8:])[0]
-    if want and crc64(data[:-8]) != want:
-        raise ValueError("bad checksum")
-    out, at, expires = [], len(MAGIC), 0
-    while data[at] != END:
-        if data[at] == EXPIRY_MS:
-            expires = struct.unpack_from("<Q", data, at + 1)[0]
-            at += 9
-        at += 1
-        pair = []
-        for _ in range(2):
-            n, at = _take_uvarint(data, at)
-            pair.append(data[at : at + n].decode())
-            at += n
-        out.append((*pair, expires))
-        expires = 0
-    return out
+#: Fixed value of the binary form, which keelstone.sources.dump reads and writes.
+MAGIC = b"REDIS0009"
