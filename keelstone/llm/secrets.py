@@ -46,7 +46,9 @@ EMBED, FILTERS, KERNEL = 8, 24, 5
 #: Labelled findings that are generated for training, and half as many for calibration.
 FINDINGS = 5000
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-_ASSIGN_CUE = re.compile(r"(?ai:passw|secret|token|api_?key)")
+#: Parts, in lower case, of which a text has one at least if the pattern can match.
+_ASSIGN_PARTS = ("passw", "secret", "token", "apikey", "api_key")
+_CUE_PARTS = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24}")
@@ -59,7 +61,8 @@ _CUE = re.compile(r"(?ai:passw(?:or)?d|passphrase|pwd|secret|token|(?:api|access
 def base_findings(text: str) -> list[tuple[str, int, int]]:
     """The base matches, by kind: leftmost, non-overlapping, failing ones dropped."""
     out = []
-    if _ASSIGN_CUE.search(text):
+    low = text.lower()
+    if any(p in low for p in _ASSIGN_PARTS):
         out += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
@@ -91,8 +94,8 @@ def _runs(text: str):
     """(start, end, least length) of each long run, and of the shorter ones that a cue announces."""
     for m in _RUN.finditer(text):
         yield *m.span(), MIN_RUN
-    seen = 0
-    for cue in _CUE.finditer(text):
+    seen, low = 0, text.lower()
+    for cue in _CUE.finditer(text) if any(p in low for p in _CUE_PARTS) else ():
         at = max(cue.end(), seen)
         while (m := _RUN_START.search(text, at, cue.end() + CUE_REACH)) and m[0] != "\n":
             run = _ANY_RUN.match(text, m.start())
