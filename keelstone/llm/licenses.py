@@ -4,7 +4,8 @@ Texts are cut into lower-case words; windows of `WINDOW` words begin every
 `STRIDE`. Each window's shingles of `SHINGLE` words are hashed, and the bands of its
 MinHash, one row each, are the least and the greatest of the hashes under the
 permutations x -> x xor c (the greatest is the least under the complement of c).
-Templates have windows at every word. A window that shares a band with a template's
+Templates have windows at every word, texts only where a window holds a template's
+shingle: a band is one of the window's own hashes, so others share none. A window that shares a band with a template's
 window retrieves that template; the template is reported if at least `CONTAINED` of
 its distinct shingles, as words, lie in the text around the window.
 
@@ -110,6 +111,12 @@ def bands(hashes: Column) -> Column:
     return F.array(*[f(y) for y in permuted(hashes) for f in (F.array_min, F.array_max)])
 
 
+def _template_hashes(spark, texts: list[list[str]]) -> list[int]:
+    """The distinct shingle hashes of all templates, by the expression that texts go through."""
+    df = spark.createDataFrame([(w,) for w in texts], "w array<string>").select(F.explode(shingle_hashes(F.col("w"))).alias("h")).distinct()
+    return sorted(r.h for r in df.collect())  # one a word of the templates at most
+
+
 def _template_bands(spark, texts: list[list[str]]) -> list[set[int]]:
     """The bands of all windows of each template, by the same expressions that texts go through."""
     rows = [(t, w[i : i + WINDOW]) for t, w in enumerate(texts) for i in range(max(1, len(w) - WINDOW + 1))]
@@ -189,17 +196,17 @@ def scan(docs: DataFrame, templates=TEMPLATES, doc_id: str = "doc_id", text: str
         return contained_share(F.get(whole, t), F.get(lengths, t), w, p)
 
     size = WINDOW - SHINGLE + 1
+    ours = _template_hashes(docs.sparkSession, texts)
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), words(F.col(text)).alias("w")).select("doc_id", "w", shingle_hashes(F.col("w")).alias("h"))
-    mixed = base.select("doc_id", "w", "h", _starts(F.col("h"), STRIDE).alias("s"), *[y.alias(f"y{i}") for i, y in enumerate(permuted(F.col("h")))])
-
-    def meets(i: int):
-        """Whether the window at p shares a band of permutation i with any template."""
-        window = lambda p: F.slice(f"y{i}", p + 1, size)
-        return lambda p: F.array_min(window(p)).isin(known) | F.array_max(window(p)).isin(known)
-
-    near = F.array_distinct(F.concat(*[F.filter("s", meets(i)) for i in range(PERMUTATIONS)]))
-    met = F.transform("at", lambda p: F.struct(p.alias("p"), F.filter(bands(F.slice("h", p + 1, size)), lambda k: k.isin(known)).alias("k")))
-    found = mixed.select("doc_id", "w", "h", near.alias("at")).select("doc_id", "w", met.alias("met"))
+    # a band of a window is the hash of one of its shingles, permuted: only windows that hold a
+    # template's shingle can share a template's band, and only those are opened
+    every = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1)).otherwise(F.array().cast("array<int>"))
+    held = base.select("doc_id", "w", "h", F.when(F.exists("h", lambda x: x.isin(ours)), F.filter(every, lambda i: F.get("h", i).isin(ours))).otherwise(F.array().cast("array<int>")).alias("i"))
+    last = lambda i: i - i % STRIDE
+    around = F.transform("i", lambda i: F.filter(F.array(*[last(i) - k * STRIDE for k in range(size // STRIDE + 1)]), lambda p: (p >= 0) & (i - p < size)))
+    near = held.select("doc_id", "w", "h", F.array_distinct(F.flatten(around)).alias("at"))
+    met = F.filter(F.transform("at", lambda p: F.struct(p.alias("p"), F.filter(bands(F.slice("h", p + 1, size)), lambda k: k.isin(known)).alias("k"))), lambda m: F.size(m["k"]) > 0)
+    found = near.select("doc_id", "w", met.alias("met"))
     verified = F.flatten(
         F.transform(
             "met",
