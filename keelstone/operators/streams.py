@@ -19,6 +19,44 @@ def auto_ids(events: DataFrame, order: str) -> DataFrame:
     return events.withColumn("seq", (F.row_number().over(Window.partitionBy("key", "ms").orderBy(order)) - 1).cast("bigint"))
 
 
+def xadd(adds: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """XADD of a batch: adds (key, arrival, now_ms, ms, seq, ...) with the ids they get, id_ms and id_seq, null
+    where they are refused. ms and seq are null for `*`, seq alone for `ms-*`. last (key, last_ms,
+    last_seq) has the ids that streams end in before the batch.
+
+    An id has to exceed all before; `*` takes the time, or the last id's ms where that is not
+    behind it. The last ms is a running maximum. While it stays the same, numbers taken in
+    turn add one and given ones that are higher set the count, so the last seq is a count
+    of turns plus a running maximum of given numbers less their counts: no entry
+    waits for the one before, and a stream may hold any share of all rows.
+    """
+    own = [F.col(c) for c in adds.columns]
+    given = adds.withColumn("__at", F.coalesce("ms", "now_ms").cast("bigint"))
+    given = running(given, ["key"], ["arrival"], {"__top": ("max", F.col("__at"))})
+    ends = None if last is None else last.select("key", F.col("last_ms").alias("__last_ms"), F.col("last_seq").alias("__last_seq"))
+    given = given.withColumns({"__last_ms": F.lit(None).cast("bigint"), "__last_seq": F.lit(None).cast("bigint")}) if ends is None else given.join(ends, "key", "left")
+    before = F.greatest("__top", "__last_ms")
+    given = given.withColumn("__first", F.coalesce(F.col("__at") > before, F.lit(True))).withColumn("__ms", F.greatest("__at", before))
+    turn = ~F.col("__first") & F.col("seq").isNull() & (F.col("ms").isNull() | (F.col("ms") == F.col("__ms")))
+    given = running(given.withColumn("__turn", turn.cast("bigint")), ["key", "__ms"], ["arrival"], {"__turns": ("sum", F.col("__turn"))})
+    sets = F.col("__first") | (F.col("seq").isNotNull() & (F.col("ms") == F.col("__ms")))
+    number = F.coalesce("seq", F.lit(0)).cast("bigint")
+    given = running(given, ["key", "__ms"], ["arrival"], {"__set": ("max", F.when(sets, number - F.col("__turns")))})
+    base = F.when(F.col("__ms") == F.col("__last_ms"), F.col("__last_seq"))
+    held = F.col("__turns") - F.col("__turn") + F.greatest("__set", base)
+    got = F.when(F.col("__first"), number).when(F.col("__turn") == 1, held + 1).when(sets & (number > held), number)
+    return given.withColumn("__seq", got).select(*own, F.when(F.col("__seq").isNotNull(), F.col("__ms")).alias("id_ms"), F.col("__seq").alias("id_seq"))
+
+
+def trimmed(entries: DataFrame) -> DataFrame:
+    """What MAXLEN leaves (entries: key, ms, seq, maxlen, ...): every add with a maxlen keeps the newest so
+    many entries of that time, itself included. An entry stays if it is not before the
+    furthest cut of its stream, which is an aggregate over ranks."""
+    ranked = stored(ranks(entries, ["key"], [F.col("ms"), F.col("seq")], "__rn"), "ranked-entries")
+    cut = ranked.filter("maxlen is not null").groupBy("key").agg(F.max(F.col("__rn") - F.greatest("maxlen", F.lit(0))).alias("__cut"))
+    return ranked.join(cut, "key", "left").filter(F.col("__rn") > F.coalesce("__cut", F.lit(0))).drop("__rn", "__cut")
+
+
 def refused(adds: DataFrame) -> DataFrame:
     """XADD with given ids (key, arrival, ms, seq): the ones that do not exceed all before. A
     stream may hold any share of all rows."""

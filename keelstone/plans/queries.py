@@ -396,6 +396,40 @@ def xadd_ids(spark, d):
     return state.stream(spark, d).select("key", "ms", "seq", "event_id")
 
 
+# one step a row again: the last id after each add
+_XADD = """WITH RECURSIVE a AS (SELECT event_type AS key, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, epoch_us(ts) // 3600000000 AS now,
+    CASE WHEN event_id % 5 < 3 THEN NULL WHEN event_id % 5 = 3 THEN epoch_us(ts) // 3600000000 - event_id % 2 ELSE epoch_us(ts) // 3600000000 END AS ms, CASE WHEN event_id % 5 = 4 THEN event_id % 9 END AS seq FROM events),
+w(key, i, lm, ls, im, iq, event_id) AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM a
+  UNION ALL
+  SELECT key, i, coalesce(im, lm), CASE WHEN im IS NULL THEN ls ELSE iq END, im, iq, event_id FROM (
+    SELECT a.key, a.i, lm, ls, a.event_id, CASE WHEN a.ms IS NULL THEN greatest(a.now, lm) WHEN a.ms > lm OR a.ms = lm AND (a.seq IS NULL OR a.seq > ls) THEN a.ms END AS im,
+      CASE WHEN a.ms IS NULL THEN CASE WHEN a.now > lm THEN 0 ELSE ls + 1 END WHEN a.seq IS NOT NULL THEN a.seq WHEN a.ms > lm THEN 0 ELSE ls + 1 END AS iq FROM w JOIN a ON a.key = w.key AND a.i = w.i + 1))
+"""
+
+
+def _adds(spark, d):
+    """Every event as an add: of `*`, of `ms-*` an hour early or not, or of a whole id; in hours, so that many share one."""
+    k, hour = F.col("event_id") % 5, F.floor(expr.epoch_ms(F.col("ts")) / 3_600_000).cast("bigint")
+    ms = F.when(k == 3, hour - F.col("event_id") % 2).when(k == 4, hour)
+    return state.table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("arrival"), hour.alias("now_ms"), ms.alias("ms"), F.when(k == 4, F.col("event_id") % 9).alias("seq"))
+
+
+@query(_XADD + "SELECT event_id, key, im AS id_ms, CASE WHEN im IS NOT NULL THEN iq END AS id_seq FROM w WHERE i > 0")
+def xadd(spark, d):
+    return streams.xadd(_adds(spark, d)).select(F.col("arrival").alias("event_id"), "key", "id_ms", "id_seq")
+
+
+@query(_XADD + """, e AS (SELECT key, event_id, im, iq, row_number() OVER (PARTITION BY key ORDER BY im, iq) AS rn FROM w WHERE i > 0 AND im IS NOT NULL),
+c AS (SELECT key, max(rn - 50 - event_id % 20) AS cut FROM e WHERE event_id % 4 = 0 GROUP BY key)
+SELECT key, event_id, im AS ms, iq AS seq FROM e LEFT JOIN c USING (key) WHERE rn > coalesce(cut, 0)""")
+def xadd_maxlen(spark, d):
+    """As xadd, where every fourth add keeps 50 to 69 entries."""
+    got = streams.xadd(_adds(spark, d)).filter("id_seq is not null")
+    entries = got.select("key", F.col("arrival").alias("event_id"), F.col("id_ms").alias("ms"), F.col("id_seq").alias("seq"), F.when(_mod("arrival", 4), 50 + F.col("arrival") % 20).alias("maxlen"))
+    return streams.trimmed(entries).drop("maxlen")
+
+
 @query(f"WITH {_STREAM} SELECT key, count(*) AS n FROM stream GROUP BY key")
 def xlen(spark, d):
     return coll.cardinality(state.stream(spark, d))

@@ -173,3 +173,40 @@ def test_small_reads(spark):
     live = spark.createDataFrame([("a", 5), ("ab", 0), ("b", 0)], "key string, expires_at_ms bigint")
     assert {r.key for r in keyspace.scan(live, "a*", now_ms=9).collect()} == {"ab"}
     assert keyspace.evict(live.withColumn("last_accessed_ms", F.length("key")), 1).count() == 2
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_added_ids_equal_a_walk(spark, seed):
+    g = random.Random(seed)
+    rows, now = [], 0
+    for i in range(1500):
+        now += g.random() < 0.1
+        kind = g.random()
+        ms = None if kind < 0.5 else max(0, now + g.randrange(-1, 2))
+        rows.append((f"k{int(g.random() ** 4 * 4)}", i, now, ms, g.randrange(12) if ms is not None and kind > 0.75 else None))
+    ends = {"k0": (3, 7), "k9": (1, 1)}
+    want, at = {}, dict(ends)
+    for key, i, now, ms, seq in rows:
+        lm, ls = at.get(key, (-1, -1))
+        if ms is None:
+            new = (now, 0) if now > lm else (lm, ls + 1)
+        else:
+            new = (ms, seq) if seq is not None else (ms, 0) if ms > lm else (ms, ls + 1)
+            new = new if new > (lm, ls) and ms >= lm else None
+        want[i] = new
+        at[key] = new or at.get(key, (-1, -1))
+    df = spark.createDataFrame(rows, "key string, arrival bigint, now_ms bigint, ms bigint, seq bigint").repartition(3)
+    last = spark.createDataFrame([(k, *v) for k, v in ends.items()], "key string, last_ms bigint, last_seq bigint")
+    got = {r.arrival: None if r.id_seq is None else (r.id_ms, r.id_seq) for r in streams.xadd(df, last).collect()}
+    assert got == want and sum(v is None for v in want.values()) > 50
+
+
+def test_maxlen_keeps_the_newest_of_its_time(spark):
+    g = random.Random(1)
+    rows = [("s", i, 0, g.choice((None, None, 5, 9, 0))) for i in range(40)] + [("t", 1, 0, None)]
+    held = []
+    for _, ms, _, n in rows[:-1]:
+        held = [*held, ms]
+        held = held if n is None else held[len(held) - min(n, len(held)) :]
+    got = streams.trimmed(spark.createDataFrame(rows, "key string, ms bigint, seq bigint, maxlen bigint")).collect()
+    assert sorted(r.ms for r in got if r.key == "s") == held and sum(r.key == "t" for r in got) == 1
