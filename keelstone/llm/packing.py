@@ -12,7 +12,9 @@ q in a bin, from an offset on. The runs are a function of at most `CAPACITY`
 numbers; their count does not follow the documents.
 
 Each piece's rank within its length is its place in its own Parquet part plus the
-pieces of that length in parts before. No piece is shuffled to be packed.
+pieces of that length in parts before. While the table of counts, at most a row a length and part,
+is under Spark's limit for broadcasts, no piece is shuffled to be packed; beyond it pieces
+meet their counts by a sort-merge join on (length, part), of which no key is hot.
 
 Defined results: null and empty texts are one token, id 0; repeated rows are packed
 each; null ids are kept.

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import string
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ MAX_COMMON_DISTANCE, COMMON_SLACK = 0.16, 3.4
 COMMON = 100
 #: Fewest words that make a reference.
 MIN_REFERENCE = 200
+#: Languages whose references are held at a time; more are judged in turns.
+MAX_LANGUAGES = 10_000
 #: Distinct words a worker holds before it hands its counts on.
 FLUSH_WORDS = 200_000
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other")
@@ -195,7 +198,14 @@ def judge(docs: DataFrame, refs: dict | None = None, doc_id: str = "doc_id", lan
     """One row a document: base measures, both distances (null where the guard or
     a missing reference leaves one out) and the verdict."""
     spark = prepare(docs.sparkSession)
-    shipped = spark.sparkContext.broadcast(references(docs, lang, text) if refs is None else refs)
+    if refs is None:
+        n_langs = docs.select(F.col(lang).cast("string").alias("l")).distinct().count()
+        turns = max(1, -(-n_langs // MAX_LANGUAGES))
+        turn = F.pmod(F.xxhash64(F.col(lang).cast("string")), F.lit(turns))
+        some = [docs if turns == 1 else docs.filter(turn == k) for k in range(turns)]
+        judged = [judge(part, references(part, lang, text), doc_id, lang, text, max_class, max_common) for part in some]
+        return reduce(DataFrame.union, judged)
+    shipped = spark.sparkContext.broadcast(refs)
 
     def work():
         known = shipped.value

@@ -81,6 +81,12 @@ def test_rules_equal_brute_force(spark, sf, docs):
     assert n_rejected
 
 
+def test_many_languages_are_judged_in_turns(spark, docs, monkeypatch):
+    whole = sorted(quality_rules.judge(docs).collect())
+    monkeypatch.setattr(quality_rules, "MAX_LANGUAGES", 2)
+    assert sorted(quality_rules.judge(docs).collect()) == whole
+
+
 def test_distance():
     p, q = np.array([1.0, 0, 3]), np.array([0, 2.0, 0])
     assert quality_rules.js_distance(p, q) == pytest.approx(1) and quality_rules.js_distance(p, 5 * p) == 0
