@@ -15,8 +15,17 @@ _STORED: dict[str, list[str]] = {}
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Spark's own values of the size of batches for Python workers, and those set in their place: a batch
+#: stands in the JVM, in the worker and in the worker's lists, in every task at a time.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": (64 << 20, 16 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 4096)}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, wherever the driver was started."""
+    """Let Python workers import this package, wherever the driver was started, and bound the
+    batches that they get where the session has Spark's own values for that."""
+    for name, (usual, ours) in _BATCHES.items():
+        if spark.conf.get(name, "").rstrip("bB") == str(usual):
+            spark.conf.set(name, str(ours))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
