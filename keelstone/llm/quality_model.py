@@ -189,11 +189,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
                 for i, part in enumerate(np.split(buckets, np.searchsorted(owner, np.arange(1, len(texts))))):
                     by[i].append(part)
             unique = [np.unique(np.concatenate(b), return_counts=True) for b in by]
-            return [longs(ids), pa.array(y, pa.int32()), pa.array([u for u, _ in unique], pa.list_(pa.int32())), pa.array([c for _, c in unique], pa.list_(pa.int64()))]
+            return [longs(ids), pa.array(y, pa.int32()), pa.array([u for u, _ in unique], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in unique], pa.list_(pa.int32()))]
 
         return fn
 
-    got = map_slices(chosen.repartition(8, "doc_id"), work, "doc_id bigint, y int, buckets array<int>, counts array<bigint>").toArrow()
+    got = map_slices(chosen.repartition(8, "doc_id"), work, "doc_id bigint, y int, buckets array<int>, counts array<int>").toArrow()
     rows = sorted(((r.as_py(), y.as_py(), b.values.to_numpy(), c.values.to_numpy()) for r, y, b, c in zip(*(got.column(k) for k in range(4)))), key=lambda r: (r[0], len(r[2]), int(r[2].sum())))
     return train([(b, c, y) for _, y, b, c in rows])
 
