@@ -24,7 +24,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, wherever the driver was started, and bound the
     batches that they get where the session has Spark's own values for that."""
     for name, (usual, ours) in _BATCHES.items():
-        if spark.conf.get(name, "").rstrip("bB") == str(usual):
+        if spark.conf.get(name, str(ours)).rstrip("bB") == str(usual):
             spark.conf.set(name, str(ours))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
