@@ -177,6 +177,8 @@ def drop_losers(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     ranked = keyed.select(F.col(ROW).alias("row"), "doc_id", F.xxhash64("text").alias("h")).join(groups, "row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")
     best = ranked.groupBy("group").agg(F.min(order).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("group", F.col("b.row").alias("best"))
+    # written, so that the join has a plain exchange on both sides and Spark can split a large group's rows
+    best = stored(best, "best-rows")
     losers = stored(groups.join(best, "group").filter("row <> best").select(F.col("row").alias(ROW)), "losing-rows")
     out = keyed.join(losers, ROW, "left_anti").drop(ROW)
     return out.withColumnRenamed(ROW + "_given", ROW) if ROW + "_given" in out.columns else out

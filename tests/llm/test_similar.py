@@ -91,6 +91,51 @@ def test_large_groups_on_both_sides_of_the_limit(spark, chunk, monkeypatch):
     assert 3 < len(want) < len(rows) and kept == want
 
 
+def test_a_large_group_gives_links_in_proportion(spark, monkeypatch):
+    """200 near copies that all link, which the first round is kept from connecting: 19,900 pairs."""
+    links, components, counted, rounds = similar.links, similar.components, [], []
+
+    def unconnected(edges):
+        rounds.append(1)
+        return components(edges).filter(str(len(rounds) > 1))
+
+    def count(distinct, texts):
+        counted.append((found := links(distinct, texts)).count())
+        return found
+
+    monkeypatch.setattr(similar, "components", unconnected)
+    monkeypatch.setattr(similar, "links", count)
+    rows = [(i, " ".join(f"x{i}" if k == i % 140 + 5 else f"b{k}" for k in range(150))) for i in range(200)]
+    kept = {r.doc_id for r in similar.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == brute_kept(rows) == {0} and counted[0] <= 10 * len(rows)
+
+
+def test_groups_connect_what_brute_force_connects():
+    """Bound and whole sets over groups of one chunk and of two, each member with a label of its own or a shared one."""
+    g = np.random.default_rng(3)
+    for first, m in ((12, 12), (5, 12), (40, 40), (17, 40)):
+        base = g.integers(0, 1 << 63, 90, np.uint64)
+        sets = [np.unique(np.concatenate([base[g.random(90) > g.choice([0.02, 0.08])], g.integers(0, 1 << 63, g.integers(1, 9), np.uint64)])) for _ in range(m)]
+        label = [int(x) for x in g.integers(0, m, m)]
+        pairs = [(a, b) for a in range(first) for b in range(first if first < m else a + 1, m) if label[a] != label[b] and similar.alike(sets[a], sets[b])]
+
+        def connected(edges):
+            at = {x: x for x in label}
+            for a, b in edges:
+                old, new = at[label[a]], at[label[b]]
+                at = {x: new if y == old else y for x, y in at.items()}
+            return {frozenset(x for x in at if at[x] == y) for y in at.values()}
+
+        ids = list(range(m))
+        u, v = similar._joined(first, ids, label, [x.tobytes() for x in sets])
+        assert all(similar.alike(sets[a], sets[b]) for a, b in zip(u, v))
+        assert connected(zip(u, v)) == connected(pairs) and pairs and len(u) < len(set(label))
+        found = similar._across(first, ids, label, [len(x) for x in sets], [similar._parities(x) for x in sets])
+        assert {x for p in pairs for x in p} <= set(found[0]) and len(set(found[0])) == len(found[0])
+        to = dict(zip(found[0], found[3]))
+        assert all(to[a] == to[b] for a, b in pairs)
+
+
 def test_the_limit_itself(spark):
     """9 of 11 shingles link, as do 8 of 10; 7 of 9 do not."""
     w = [f"x{i}" for i in range(15)]
