@@ -46,8 +46,8 @@ OF, IN = 4, 5
 ROWS, BANDS = 4, 24
 #: 64-bit words of the parities.
 WORDS = 32
-#: Members of a bucket that are compared at a time; where whole sets are, so many of EACH shingles.
-CHUNK, EACH = 512, 256
+#: Members of a bucket that are compared at a time, by parities; whole sets: so many times EACH shingles.
+CHUNK, EACH = 2048, 256
 #: Shingles of a text that are permuted at a time.
 BLOCK = 1 << 10
 
@@ -238,7 +238,7 @@ def joined(paired: DataFrame, texts: DataFrame, chunk: int = CHUNK) -> DataFrame
     n, to) joins, fewer than labels in each group. Each set meets the others of its labels once, whatever the number of its buckets."""
     found = stored(paired, "paired-sets")
     under = components(found.select(F.col("label").alias("u"), F.col("to").alias("v"))).select(F.col("node").alias("label"), F.col("label").alias("under"))
-    placed = dealt(found.select("set", "label", (F.col("n") + EACH).alias("cost")).distinct().join(under, "label"), ["under"], chunk * 2 * EACH)
+    placed = dealt(found.select("set", "label", (F.col("n") + EACH).alias("cost")).distinct().join(under, "label"), ["under"], chunk * EACH)
     sets = shingle_sets(texts, found.select("set").distinct())
     return stored(_groups(placed.join(sets, "set"), ["under"], ["set", "label", "hashes"], _joined, "u bigint, v bigint"), "near-links")
 
